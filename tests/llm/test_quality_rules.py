@@ -86,7 +86,7 @@ def corpus():
         rows.append((k, "".join(w + draw.choice(["  ", " ", " ", " ", "\n", "\t", "\r\n"]) for w in words), lang))
     line = "the same line again and again, é\n"
     rows += [(500, None, "en"), (501, "", None), (502, line * 30, "en"), (503, "\n \n" + line + line[:-1], "en"), (504, "\x85\xa0  x 漢字 😀 \x00", "en"), (504, "twice", "fr"), (504, "twice", "fr"), (None, "no id", "de")]
-    rows += [(505, rows[1][1] * 300, rows[1][2]), (506, " ".join(f"{w}%%%" for w in rows[2][1].split() * 20), "en")]
+    rows += [(505, rows[1][1] * 300, rows[1][2]), (506, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}%%%###" for k in range(600)), "en")]
     return rows
 
 
