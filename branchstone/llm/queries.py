@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
 from .simhash import simhash_components
@@ -20,6 +21,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), carry=["doc_id"], digests=True)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, carry=["doc_id"])
@@ -31,6 +42,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
 }
