@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
@@ -41,6 +42,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), carry=["doc_id"])
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 
@@ -60,4 +66,34 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
                doc_id = max(doc_id) over (partition by norm) as kept, sha256(norm) as text_sha256
         from t""",
+    "op9_mixing": r"""
+        with docs as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+        source_sizes as (select source, sum(size)::bigint as source_size from docs group by source),
+        numbered as (select *, row_number() over (order by source nulls last) - 1 as place from source_sizes),
+        weighted as (select *, (place % 3 + 1)::bigint as weight, (sum(source_size) over ())::bigint as total from numbered),
+        levels as (
+            select *, (total - coalesce(sum(3 * source_size) over by_ratio, 0)) / (sum(weight) over () - coalesce(sum(weight) over by_ratio, 0)) as level
+            from weighted window by_ratio as (order by source_size / weight, place rows between unbounded preceding and 1 preceding)),
+        level as (select level as l from levels where weight * level <= 3 * source_size order by source_size / weight, place limit 1),
+        targets as (select source, place, source_size, total, least((3 * source_size)::double, weight * (select l from level))::double as target,
+                           least(greatest(total // 1048576, 16), 4096) as block from levels),
+        shares as (
+            select *, coalesce(lag(high) over (order by place), 0) as low
+            from (select *, round(sum(target) over (order by place) / greatest(total, 1) * 4294967296)::bigint as high from targets)),
+        slots as (
+            select (slot * 2654435769) % 4294967296 as point
+            from range(0, (select (max(total) + max(block) - 1) // max(block) from targets)) as t(slot)),
+        drawn as (select place, count(*) as n from slots join shares on point >= low and point < high group by place),
+        counts as (
+            select s.place, s.source, s.source_size, s.target, s.block, (source_size + block - 1) // block as blocks,
+                   least(coalesce(n, 0), 3 * ((source_size + block - 1) // block)) as n
+            from shares s left join drawn d on d.place = s.place),
+        placed as (
+            select d.doc_id, d.size, c.*, coalesce(sum(d.size) over (partition by c.place order by md5('0:' || coalesce(d.doc_id::varchar, '')), d.doc_id, d.size
+                                                   rows between unbounded preceding and 1 preceding), 0) as start
+            from docs d join counts c on d.source is not distinct from c.source)
+        select doc_id, size, source_size, target,
+               case when size = 0 then 0 else (n // blocks) * size + greatest(0, least(start + size, (n % blocks) * block) - start) end::bigint as taken
+        from placed""",
 }
