@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
+from .common import written
 from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .token_counts import token_counts
+from .warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = written(write_archives(_table(spark, sf_dir, "pages")), "archives")
+    return read_archives(archives).drop("uri")
+
+
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
 
@@ -52,6 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
@@ -96,4 +104,15 @@ ORACLE_SQL: dict[str, str] = {
         select doc_id, size, source_size, target,
                case when size = 0 then 0 else (n // blocks) * size + greatest(0, least(start + size, (n % blocks) * block) - start) end::bigint as taken
         from placed""",
+    "op3_warc": """
+        with t as (select page_id, coalesce(html, '') as html, min(page_id) over (partition by coalesce(html, '')) as first from pages),
+        b as (select *, array_to_string(list_transform(string_split(sha1(html), ''),
+                   lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', (instr('0123456789abcdef', c) - 1) * 4 + 1, 4)), '') as bits from t)
+        select page_id, octet_length(encode(html))::bigint as payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   (1 + 16 * substr(bits, 5 * i + 1, 1)::int + 8 * substr(bits, 5 * i + 2, 1)::int + 4 * substr(bits, 5 * i + 3, 1)::int
+                    + 2 * substr(bits, 5 * i + 4, 1)::int + substr(bits, 5 * i + 5, 1)::int)::bigint, 1)), '') as payload_digest,
+               case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from b""",
 }
