@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import simhash_components
+from .substring_dedup import substring_dedup
 from .token_counts import token_counts
 from .warc import read_archives, write_archives
 
@@ -25,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = written(write_archives(_table(spark, sf_dir, "pages")), "archives")
     return read_archives(archives).drop("uri")
@@ -59,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
@@ -115,4 +121,17 @@ ORACLE_SQL: dict[str, str] = {
                case when page_id = first then 'response' else 'revisit' end as record_type,
                case when page_id <> first then first end as refers_to
         from b""",
+    "op2_substring_dedup": r"""
+        with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+        places as (select doc_id, words, unnest(range(1, len(words) - 48)) as at from docs where len(words) >= 50),
+        windows as (select doc_id, at, md5(array_to_string(list_slice(words, at, at + 49), ' ')) as h from places),
+        firsts as (select h, min(doc_id) as first from windows group by h),
+        hits as (select doc_id, at from windows join firsts using (h) where first < doc_id),
+        gone as (select distinct doc_id, at + k as at from hits, range(0, 50) as r(k)),
+        single as (select doc_id, unnest(range(1, len(words) + 1)) as at, unnest(words) as word from docs),
+        kept as (
+            select s.doc_id, string_agg(word, ' ' order by s.at) as text, count(*) as n
+            from single s left join gone g on s.doc_id = g.doc_id and s.at = g.at where g.at is null group by s.doc_id)
+        select d.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+        from docs d left join kept k on d.doc_id = k.doc_id""",
 }
