@@ -123,15 +123,15 @@ ORACLE_SQL: dict[str, str] = {
         from b""",
     "op2_substring_dedup": r"""
         with docs as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
-        places as (select doc_id, words, unnest(range(1, len(words) - 48)) as at from docs where len(words) >= 50),
-        windows as (select doc_id, at, md5(array_to_string(list_slice(words, at, at + 49), ' ')) as h from places),
+        places as (select doc_id, words, unnest(range(1, len(words) - 48)) as pos from docs where len(words) >= 50),
+        windows as (select doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 49), ' ')) as h from places),
         firsts as (select h, min(doc_id) as first from windows group by h),
-        hits as (select doc_id, at from windows join firsts using (h) where first < doc_id),
-        gone as (select distinct doc_id, at + k as at from hits, range(0, 50) as r(k)),
-        single as (select doc_id, unnest(range(1, len(words) + 1)) as at, unnest(words) as word from docs),
+        hits as (select doc_id, pos from windows join firsts using (h) where first < doc_id),
+        gone as (select distinct doc_id, pos + k as pos from hits, range(0, 50) as r(k)),
+        single as (select doc_id, unnest(range(1, len(words) + 1)) as pos, unnest(words) as word from docs),
         kept as (
-            select s.doc_id, string_agg(word, ' ' order by s.at) as text, count(*) as n
-            from single s left join gone g on s.doc_id = g.doc_id and s.at = g.at where g.at is null group by s.doc_id)
+            select s.doc_id, string_agg(word, ' ' order by s.pos) as text, count(*) as n
+            from single s left join gone g on s.doc_id = g.doc_id and s.pos = g.pos where g.pos is null group by s.doc_id)
         select d.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
         from docs d left join kept k on d.doc_id = k.doc_id""",
 }
