@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .bpe import bpe_encode
 from .common import written
 from .exact_dedup import exact_dedup
+from .license_scan import license_scan, license_sql
 from .mixing import mix
 from .quality_rules import quality_rules
 from .simhash import simhash_components
@@ -54,6 +55,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
+    "op8_license_scan": op8_license_scan,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
@@ -134,4 +140,5 @@ ORACLE_SQL: dict[str, str] = {
             from single s left join gone g on s.doc_id = g.doc_id and s.pos = g.pos where g.pos is null group by s.doc_id)
         select d.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
         from docs d left join kept k on d.doc_id = k.doc_id""",
+    "op8_license_scan": license_sql(),
 }
