@@ -28,7 +28,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

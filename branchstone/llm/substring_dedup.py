@@ -1,8 +1,9 @@
 """Substring dedup: recurring passages are confirmed, compiled into sharded Aho-Corasick automata and located in every document.
 
-A passage recurs if a window of `window` words occurs in two documents. Each window has an anchor, the phrase of `phrase`
+A document with the words of another one of a smaller id loses all, whatever else recurs; the rest is about documents
+that differ. A passage recurs if a window of `window` words occurs in two of them. Each window has an anchor, the phrase of `phrase`
 of its words with the least hash: equal windows have equal anchors, and neighbours mostly share theirs. So
-1. anchors of two documents or more are counted, and a Bloom filter of them, of bounded size, is broadcast;
+1. anchors of two differing documents are counted, and a Bloom filter of them, of bounded size, is broadcast;
 2. windows with such an anchor are counted by their hash: those of two documents or more are confirmed, with the smallest
    id that has them, their owner; the owners' runs of confirmed windows are the passages, cut into overlapping segments;
 3. documents with such windows go to shards of about shard_bytes, each with the segments that its windows name. A shard's
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_groups, written
 from .exact_dedup import BUCKET_BITS, filter_bits
 from .textscan import Scan, mixed, pieces, powers
 
@@ -57,6 +58,13 @@ class Windows:
             self.hash = spans(h, window)[self.start]
         self.doc = scan.word_doc[self.start]
 
+    def sequences(self) -> np.ndarray:
+        """A hash of all words of each text."""
+        h = self.scan.hashes(self.scan.word_start, self.scan.word_end)
+        up, down = powers(len(h) + 1)
+        sums, ends = np.r_[np.uint64(0), np.cumsum(h * up[:-1])], np.r_[0, np.cumsum(self.scan.n_words)]
+        return mixed((sums[ends[1:]] - sums[ends[:-1]]) * down[ends[:-1]] + self.scan.n_words.astype(np.uint64))
+
 
 def cells_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     mask = np.uint64((1 << bits) - 1)
@@ -84,11 +92,10 @@ def in_bloom(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 def _anchors(window: int, phrase: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in pieces(batch, 1):
+            for _, _, texts in pieces(batch, 0):
                 w = Windows(Scan(texts), window, phrase)
                 new = np.r_[True, (w.anchor[1:] != w.anchor[:-1]) | (w.doc[1:] != w.doc[:-1])][: len(w.doc)]
-                ids = batch.column(0).slice(a, b - a).take(pa.array(w.doc[new]))
-                yield pa.RecordBatch.from_arrays([pa.array(w.anchor[new].view(np.int64)), ids], names=["anchor", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (w.anchor[new], w.sequences()[w.doc[new]])], names=["anchor", "words"])
 
     return run
 
@@ -204,36 +211,36 @@ class Automaton:
         return gone
 
 
-OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string()), ("digest", pa.string())])
 
 
-def _located(window: int, phrase: int):
+def _located(window: int, phrase: int, texts: bool):
     def run(docs: pa.Table, segments: pa.Table) -> pa.Table:
         automaton = Automaton(list(zip(segments["owner"].to_pylist(), segments["segment"].to_pylist(), strict=True)), window, phrase)
         rows = []
-        for own, text in zip(docs["id"].to_pylist(), docs["words"].to_pylist(), strict=True):
+        for own, text, digest in zip(docs["id"].to_pylist(), docs["words"].to_pylist(), docs["digest"].to_pylist(), strict=True):
             gone = automaton.covered(own, text)
             kept = b" ".join(w for w, g in zip(text.split(), gone.tolist(), strict=True) if not g)
-            rows.append((own, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
+            rows.append((own, len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if texts else None, digest))
         columns = list(zip(*rows, strict=True)) or [[]] * len(OUT)
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, OUT.types, strict=True)], schema=OUT)
 
     return run
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, phrase: int = 16, shard_bytes: int = 1 << 20, segment_words: int = 256, most_filter_bits: int = 28) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, phrase: int = 16, shard_bytes: int = 1 << 20, segment_words: int = 256, most_filter_bits: int = 28, texts: bool = True) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, kept_text) for every row of df.
 
     Removed is each word covered by a window of `window` words that also starts in a row with a smaller id, in the input
-    as it is. kept_text: the words that stay joined by one space, null where none is removed or could be; kept_sha256 its
-    digest in any case. ids are integers. Null and empty texts have no words. Rows with a null id lose nothing and take
+    as it is. kept_text: the words that stay joined by one space, null where none is removed or could be, and in all
+    rows without `texts`; kept_sha256 its digest in any case. ids are integers. Null and empty texts have no words. Rows with a null id lose nothing and take
     nothing from others; rows that share an id are never smaller than one another. Other columns are ignored; an empty
     table gives an empty result. Windows are told apart by 64-bit hashes before they are compared in full: a collision
     could hide a passage, never remove one."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    anchors = docs.mapInArrow(_anchors(window, phrase), "anchor long, id long")
-    recurring = written(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "recurring-anchors")
+    anchors = docs.select("text").mapInArrow(_anchors(window, phrase), "anchor long, words long")
+    recurring = written(anchors.groupBy("anchor").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low < high").select("anchor"), "recurring-anchors")
     bits = filter_bits(recurring.count(), most=most_filter_bits)
     filter_ = spark.sparkContext.broadcast(bloom(recurring, "anchor", bits))
     rows = written(docs.mapInArrow(_candidates(window, phrase, filter_, bits), "id long, n_words long, digest string, words binary, hashes array<long>"), "candidates")
@@ -251,6 +258,12 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     asked = some.select(F.explode("hashes").alias("hash"), "shard").distinct()
     named = segments.select(F.explode("hashes").alias("hash"), "key").join(asked, "hash").select("key", "shard").distinct()
     dealt = named.join(segments.select("key", "owner", "segment"), "key").select(F.col("shard").alias("to"), "owner", "segment").distinct()
-    found = some.select("shard", "id", "words").groupBy("shard").cogroup(dealt.groupBy("to")).applyInArrow(_located(window, phrase), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    rest = rows.where("words is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"))
-    return found.unionByName(rest).withColumnRenamed("id", id_col)
+    found = some.select("shard", "id", "words", "digest").groupBy("shard").cogroup(dealt.groupBy("to")).applyInArrow(_located(window, phrase, texts), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, digest string")
+    rest = rows.where("words is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), "digest")
+    found = written(found.unionByName(rest), "located")
+
+    copies = found.groupBy("digest").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    out = join_groups(found, copies, "digest", "n", docs.count(), "left")
+    gone = (F.col("low") < F.col("id")) & (F.col("n_words") >= window)
+    final = {"n_removed": F.col("n_words"), "kept_sha256": F.lit(kept_digest([])), "kept_text": F.lit("" if texts else None).cast("string")}
+    return out.select(F.col("id").alias(id_col), "n_words", *[F.when(gone, v).otherwise(F.col(k)).alias(k) for k, v in final.items()])
