@@ -16,6 +16,7 @@ from .quality_rules import quality_rules
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .tool_calls import link_tool_calls
 from .warc import read_archives, write_archives
 
 
@@ -46,6 +47,47 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), carry=["doc_id"], digests=True)
 
 
+#: Two tools; the properties come in the order in which errors are listed.
+SCHEMAS = {
+    "search": {
+        "type": "object",
+        "properties": {"query": {"type": "string", "minLength": 1, "maxLength": 200}, "limit": {"type": "integer", "minimum": 1, "maximum": 10}},
+        "required": ["query", "limit"],
+        "additionalProperties": False,
+    },
+    "translate": {
+        "type": "object",
+        "properties": {"text": {"type": "string", "minLength": 1, "maxLength": 400}, "target": {"type": "string", "enum": ["de", "en", "es", "fr"]}},
+        "required": ["text", "target"],
+        "additionalProperties": False,
+    },
+}
+
+
+def tool_messages(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results from plain turns, which have none: a user turn is a call of one of two tools by its number, with
+    arguments made of its text; the assistant turn after it is its result; a call waits for that two turns before."""
+    name = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    turn, text, size = F.col("turn"), F.col("text"), F.length(F.coalesce("text", F.lit("")))
+    search = F.to_json(F.struct(text.alias("query"), (size % 12).alias("limit")), {"ignoreNullFields": "false"})
+    target = F.element_at(F.array(*map(F.lit, ["de", "en", "es", "fr", "it"])), size % 5 + 1)
+    translate = F.to_json(F.struct(text.alias("text"), target.alias("target")), {"ignoreNullFields": "false"})
+    first = turn % 4 < 2
+    calls = conversations.where("role = 'user'").select(
+        "conv_id",
+        name(turn).alias("call_id"),
+        "turn",
+        F.when(first, "search").otherwise("translate").alias("name"),
+        F.when(first, search).otherwise(translate).alias("arguments"),
+        F.when(turn >= 2, name(turn - 2)).alias("after"),
+    )
+    return calls, conversations.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", text.alias("content"))
+
+
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(*tool_messages(_table(spark, sf_dir, "conversations")), SCHEMAS)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup(docs, carry=["doc_id"])
@@ -72,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
+    "op5_tool_calls": op5_tool_calls,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
@@ -141,4 +184,30 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
         from docs d left join kept k on d.doc_id = k.doc_id""",
     "op8_license_scan": license_sql(),
+    "op5_tool_calls": """
+        with calls as (
+            select conv_id, turn, 'call_' || turn as call_id, coalesce(text, '') as text, length(coalesce(text, '')) as n, turn % 4 < 2 as search,
+                   case when turn >= 2 then 'call_' || (turn - 2) end as wanted
+            from conversations where role = 'user'),
+        results as (select conv_id, 'call_' || (turn - 1) as call_id, text as content from conversations where role = 'assistant'),
+        linked as (
+            select c.*, r.content, case when r.call_id is null then 0 else 1 end as n_results, b.call_id as after_id, c.wanted is not null and b.call_id is null as after_missing
+            from calls c left join results r on c.conv_id = r.conv_id and c.call_id = r.call_id
+            left join calls b on c.conv_id = b.conv_id and c.wanted = b.call_id),
+        islands as (select *, turn // 2 - row_number() over (partition by conv_id, turn % 2 order by turn) as island from linked),
+        deep as (select *, row_number() over (partition by conv_id, turn % 2, island order by turn) - 1 as depth from islands),
+        checked as (
+            select *, row_number() over (partition by conv_id order by depth, turn, call_id) as position,
+                   case when search then concat_ws('; ', case when n < 1 then 'minLength query' end, case when n > 200 then 'maxLength query' end,
+                                                   case when n % 12 < 1 then 'minimum limit' end, case when n % 12 > 10 then 'maximum limit' end)
+                        else concat_ws('; ', case when n < 1 then 'minLength text' end, case when n > 400 then 'maxLength text' end,
+                                       case when n % 5 = 4 then 'enum target' end) end as errors
+            from deep)
+        select conv_id, call_id, depth::bigint as depth, position::bigint as position, n_results::bigint as n_results, false as duplicate, after_missing, errors = '' as valid, errors,
+               '{"after":' || coalesce('"' || wanted || '"', 'null') || ',"arguments":'
+               || case when search then '{"limit":' || (n % 12) || ',"query":' || to_json(text)::varchar || '}'
+                       else '{"target":"' || (['de', 'en', 'es', 'fr', 'it'])[n % 5 + 1] || '","text":' || to_json(text)::varchar || '}' end
+               || ',"id":"' || call_id || '","name":"' || case when search then 'search' else 'translate' end
+               || '","result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
+        from checked""",
 }
