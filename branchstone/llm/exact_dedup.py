@@ -28,7 +28,11 @@ def repeated_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
 
     Only 8-byte cells move, summed before the shuffle, so that a hash of a third of all rows is one row a task."""
     cells = hashes.select(F.explode(F.array(*_places(F.col(h), bits))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    cells = cells.where("n > 1").select(F.shiftright("cell", BUCKET_BITS).alias("bucket"), F.col("cell").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("at"))
+    return _bitmaps(cells.where("n > 1"))
+
+
+def _bitmaps(cells: DataFrame) -> DataFrame:
+    cells = cells.select(F.shiftright("cell", BUCKET_BITS).alias("bucket"), F.col("cell").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("at"))
     return cells.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
@@ -50,6 +54,21 @@ def flag_repeats(rows: DataFrame, h: str, found: DataFrame, bits: int, flag: str
     return rows.withColumn(flag, F.col("__f0") & F.col("__f1")).drop("__f0", "__f1")
 
 
+def drop_ids(df: DataFrame, id_col: str, dropped: DataFrame, most_filter_bits: int = 28) -> DataFrame:
+    """df without the rows whose id is in `dropped` (one column, id_col).
+
+    A Bloom filter of the dropped ids is broadcast, of bounded size; only rows that it names are shuffled and compared,
+    the others never move. A null id can be dropped like any other."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
+    dropped = written(dropped.select(key.alias("__key")).distinct(), "dropped")
+    bits = filter_bits(dropped.count(), most=most_filter_bits)
+    cells = dropped.select(F.explode(F.array(*_places(F.xxhash64("__key"), bits))).alias("cell"))
+    found = written(_bitmaps(cells), "dropped-cells")
+    flagged = flag_repeats(df.withColumn("__key", key).withColumn("__h", F.xxhash64("__key")), "__h", found, bits, "__hit")
+    rest = flagged.where("__hit").join(dropped, "__key", "left_anti")
+    return flagged.where("not __hit").unionByName(rest).select(*[f"`{c}`" for c in df.columns])
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, most_filter_bits: int = 28) -> DataFrame:
     """Every row of df with keep_id, group_size, kept and text_sha256 (of the text with A-Z lower-cased).
 

@@ -5,23 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from branchstone.llm.bpe import bpe_encode
 from branchstone.llm.common import written
-from branchstone.llm.exact_dedup import exact_dedup
+from branchstone.llm.exact_dedup import drop_ids, exact_dedup
+from branchstone.llm.mixing import mix
+from branchstone.llm.quality_rules import quality_rules
+from branchstone.llm.queries import vocabulary_path
+from branchstone.llm.simhash import simhash_components
 
 
 def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
     return df.select(*[f"`{c}`" for c in docs.columns])
 
 
+def _all(wanted: str, verdicts: DataFrame) -> DataFrame:
+    """The ids of which no row is as wanted."""
+    return verdicts.groupBy("doc_id").agg(F.max(F.expr(wanted)).alias("ok")).where("not ok").select("doc_id")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return drop_ids(docs, "doc_id", _all("kept", quality_rules(docs).select("doc_id", "kept")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts that with the largest id stays."""
     return _like(exact_dedup(docs).where("kept"), docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates that with the smallest id stays."""
+    return drop_ids(docs, "doc_id", _all("component_id <=> doc_id", simhash_components(docs)))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, to the nearest whole time: 0 to 3.
+
+    The mix takes a source's words in one order, so at most one document of a source is taken in part."""
+    times = mix(docs).groupBy("doc_id").agg(F.rint(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__times"))
+    taken = docs.join(times.where("__times > 0"), "doc_id")
+    return _like(taken.withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.col("__times")))), docs)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document of the mix, as counts and digests."""
+    return bpe_encode(docs, vocabulary_path("byte_bpe_50k.json"), carry=["doc_id"], digests=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", quality),
     ("exact dedup", exact),
+    ("near dedup", near),
+    ("mixing", mixed),
+    ("bpe encoding", encoded),
 ]
 
+#: Fingerprints and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
