@@ -31,8 +31,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts that with the largest id stays."""
-    return _like(exact_dedup(docs).where("kept"), docs)
+    """Of documents with equal texts that with the largest id stays. Columns with the operator's names stay the documents'."""
+    rows = docs.select("doc_id", "text", F.struct(*[f"`{c}`" for c in docs.columns]).alias("__row"))
+    return exact_dedup(rows, carry=["__row"]).where("kept").select("__row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
