@@ -6,7 +6,7 @@ of its words with the least hash: equal windows have equal anchors, and neighbou
 1. anchors of two differing documents are counted, and a Bloom filter of them, of bounded size, is broadcast;
 2. windows with such an anchor are counted by their hash: those of two documents or more are confirmed, with the smallest
    id that has them, their owner; the owners' runs of confirmed windows are the passages, cut into overlapping segments;
-3. documents with such windows go to shards of about shard_bytes, each with the segments that its windows name. A shard's
+3. documents with such windows go to shards of about shard_bytes, each with the segments of all owners of its windows. A shard's
    automaton finds every occurrence of the segments' anchors in its documents; each is extended word by word to the whole
    common passage, so what is removed has been compared in full."""
 
@@ -146,9 +146,9 @@ def _segments(window: int, phrase: int, most: int):
                     for first, last in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                         for at in range(first, last, most - window + 1):
                             end = min(last, at + most - window + 1)
-                            rows.append((b" ".join(words[at : end + window - 1]), np.unique(w.hash[at:end].view(np.int64))))
+                            rows.append(b" ".join(words[at : end + window - 1]))
                     ids = pa.array([batch.column(0)[a + k].as_py()] * len(rows), batch.schema.types[0])
-                    yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["owner", "segment", "hashes"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(rows, pa.binary())], names=["owner", "segment"])
 
     return run
 
@@ -249,15 +249,16 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shards = max(1, total // shard_bytes)
     some = some.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
-    owned = some.select(F.explode("hashes").alias("hash"), "id").groupBy("hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    owned = owned.groupBy(F.col("low").alias("owner")).agg(F.collect_list("hash").alias("hashes"))  # at most a document's windows
-    owners = some.select(F.col("id").alias("owner"), "words").join(owned, "owner")
-    segments = owners.select("owner", "words", "hashes").mapInArrow(_segments(window, phrase, segment_words), "owner long, segment binary, hashes array<long>")
-    segments = written(segments.withColumn("key", F.sha2(F.concat(F.col("owner").cast("string").cast("binary"), F.lit(b":"), "segment"), 256)), "segments")
+    windows = some.select(F.explode("hashes").alias("hash"), "id", "shard")
+    owned = windows.groupBy("hash").agg(F.min("id").alias("owner"), F.max("id").alias("high")).where("owner < high").select("hash", "owner")
+    owned = written(owned, "confirmed")  # it is used twice
+    lists = owned.groupBy("owner").agg(F.collect_list("hash").alias("hashes"))  # at most a document's windows
+    owners = some.select(F.col("id").alias("owner"), "words").join(lists, "owner").select("owner", "words", "hashes")
+    segments = written(owners.mapInArrow(_segments(window, phrase, segment_words), "owner long, segment binary"), "segments")
 
-    asked = some.select(F.explode("hashes").alias("hash"), "shard").distinct()
-    named = segments.select(F.explode("hashes").alias("hash"), "key").join(asked, "hash").select("key", "shard").distinct()
-    dealt = named.join(segments.select("key", "owner", "segment"), "key").select(F.col("shard").alias("to"), "owner", "segment").distinct()
+    # a shard gets the segments of every owner of a window that its documents have
+    named = windows.select("hash", "shard").join(owned, "hash").select("owner", F.col("shard").alias("to")).distinct()
+    dealt = segments.join(named, "owner").select("to", "owner", "segment").distinct()
     found = some.select("shard", "id", "words", "digest").groupBy("shard").cogroup(dealt.groupBy("to")).applyInArrow(_located(window, phrase, texts), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string, digest string")
     rest = rows.where("words is null").select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"), F.lit(None).cast("string").alias("kept_text"), "digest")
     found = written(found.unionByName(rest), "located")
