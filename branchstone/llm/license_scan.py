@@ -8,6 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+from .quality_rules import COMMON_WORDS, vocabulary
+
 # Notices by which texts name their licence, and the grants of short licences.
 TEMPLATES = {
     "MIT": [
@@ -56,14 +59,32 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> tupl
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind))), sizes
 
 
+def needed_words(templates: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which any text that reaches the threshold with some template has one at least.
+
+    Such a text has t/(2-t) or more of the template's bigrams, so one at least of any larger part of them than the rest:
+    words are taken, the longest first and frequent ones last, until they are in so many bigrams."""
+    found, frequent = set(), set(vocabulary(COMMON_WORDS))
+    for text in (t for x in templates.values() for t in x):
+        grams = bigrams_of(text)
+        left, covered = len(grams) - threshold / (2 - threshold) * len(grams) + 1e-9, set()
+        for word in sorted(set(words_of(text)), key=lambda w: (w in frequent, -len(w), w)):
+            if len(covered) > left:
+                break
+            found.add(word)
+            covered |= {g for g in grams if word in g.split(" ")}
+    return sorted(found)
+
+
 def with_bigrams(units: DataFrame) -> DataFrame:
-    """unit replaced by grams, its distinct word bigrams: lower case, letters and digits alone. Units below two words go.
+    """unit replaced by grams, its word bigrams (lower case, letters and digits alone), and size, the number of distinct ones.
 
-    The words are a column of their own, so that they are made once for each unit."""
+    The words are a column of their own, so that they are made once for each unit. Distinct ones are counted by 64-bit
+    hashes, in a hash set; arrays of strings would be compared pair by pair. Units below two words go."""
     others = [c for c in units.columns if c != "unit"]
     words = units.select(*others, F.split(F.btrim(F.regexp_replace(F.lower("unit"), OTHERS, " ")), " ").alias("words")).where(F.size("words") > 1)
     pairs = F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
-    return words.select(*others, F.array_distinct(pairs).alias("grams"))
+    return words.select(*others, pairs.alias("grams")).withColumn("size", F.size(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))))
 
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
@@ -71,17 +92,20 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Units are the whole text (line 0) and each of its lines (from 1). Dice of bigram sets A and B is 2|A n B| / (|A|+|B|);
     it can reach the threshold t only if |A| is between t/(2-t) and (2-t)/t times |B|, so units outside all templates'
-    bounds end there and others meet only the templates within theirs. n_lines: lines at or above the threshold; overlap
+    bounds end there and others meet only the templates within theirs; texts without any of needed_words go before. n_lines: lines at or above the threshold; overlap
     and sizes (of both sets added) are those of the best unit and template, so that its Dice is 2 * overlap / sizes.
     Rows with null or empty texts, or without a match, have no row. Repeated rows give one, as do rows that share an id;
     rows with a null id are one. Other columns are ignored; an empty table gives an empty result."""
     table, sizes = template_table(df.sparkSession, templates)
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(sizes) * low - 1e-9, max(sizes) * high + 1e-9
+    wanted = "|".join(needed_words(templates, threshold))  # of letters and digits alone
+    # written, as the optimiser would put the costlier conditions on words before this one
+    df = written(df.select(id_col, text_col).where(F.lower(text_col).rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{wanted})(?![\p{{L}}\p{{N}}])")), "licensed")
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line", "unit"))
     units = lines.withColumn("line", F.col("line") + 1).unionByName(df.select(F.col(id_col).alias("id"), F.lit(0).alias("line"), F.col(text_col).alias("unit")))
     units = units.where(F.length("unit") >= 2 * int(least) + 1)  # n bigrams are n + 1 words at least, so 2n + 1 characters
-    units = with_bigrams(units).withColumn("size", F.size("grams"))
+    units = with_bigrams(units)
     units = units.where((F.col("size") >= least) & (F.col("size") <= most))
     grams = units.select("id", "line", "size", F.explode("grams").alias("bigram"))
     met = grams.join(F.broadcast(table), "bigram").where((F.col("size") >= F.col("template_size") * low - 1e-9) & (F.col("size") <= F.col("template_size") * high + 1e-9))
