@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 from ..functions.geometry import TYPE as GEOMETRY
 from ..functions.geometry import from_ewkt, geometry_checks
 from ..functions.predicates import checks, spark_type
+from ..operators.change import upsert
 from ..operators.checks import duplicates, orphans
+from ..operators.identity import allocate
 from ..sources import layers
 from ..sources.log import EngineError, Store, require
 from .definition import UUID, DefinitionError, canonical, default_of, fingerprint, identifier, normalized, physical, value_of, variants_of
@@ -235,6 +237,48 @@ class Engine:
 
         return self._transact(group, change)
 
+    def load(self, dataset: str, version: str, expected_head: str, rows: DataFrame, replace: bool = False) -> str:
+        """A batch of any size as a DataFrame: fid, the fields in their exact types and, with a geometry, its EWKT as
+        `geometry`. The same checks as for apply_rows, all of them as distributed plans; returns the new head.
+
+        The rows are written once before anything is decided; identities are allocated in the order they were written in."""
+        group = self._group_of("dataset", dataset, "DATASET_VERSION_MISMATCH")
+
+        def change(state: dict) -> str:
+            target, entry = state["versions"].get(version), state["datasets"][dataset]
+            require(version == state["default_version_id"], "DATASET_VERSION_MISMATCH")
+            require(target["head"] == expected_head, "STALE_HEAD")
+            definition = self._definition(state, dataset)
+            schema, wanted = rows_schema(definition), {f["name"]: spark_type(f) for f in definition["fields"]}
+            given = {f.name: f.dataType for f in rows.schema.fields}
+            geometry = {"geometry"} if definition["geometry"] is not None else set()
+            require(set(given) == {"fid", *wanted} | geometry and all(given[n] == t for n, t in wanted.items()), "FIELD_SET_MISMATCH")
+            fid = F.lower("fid")
+            staged = rows.select(fid.alias("fid"), *wanted, *([from_ewkt(F.col("geometry")).alias("geom"), F.col("geometry").isNotNull().alias("__text")] if geometry else []), F.monotonically_increasing_id().alias("__position"))
+            name = self.store.write(staged)
+            staged = self.spark.read.parquet(f"{self.store.log.root}/{name}")
+            require(staged.where(~F.coalesce(F.col("fid").rlike(rf"\A(?:{UUID})\z"), F.lit(False))).isEmpty(), "INVALID_FEATURE_ROW")
+            require(duplicates(staged, ["fid"]).isEmpty(), "DUPLICATE_FEATURE_UUID")
+            require(not geometry or staged.where("__text and geom.ewkb is null").isEmpty(), "INVALID_GEOMETRY_INPUT")
+            if geometry:
+                staged = staged.withColumn("geom", F.when(F.col("__text"), F.col("geom")))
+            self._check_rows(staged, definition, "__position")
+            registry = self.store.read(entry["identity"], IDENTITY)
+            fresh = self.store.write(allocate(staged, registry, "fid", "__position", entry["next_object_id"] - 1))
+            made = self.store.read([fresh], IDENTITY)
+            entry["next_object_id"] += made.count()
+            entry["identity"] = [*entry["identity"], fresh]
+            full = staged.join(registry.unionByName(made), "fid").withColumn("feature_revision", F.expr("uuid()")).select(*schema.names)
+            if not replace and target["datasets"][dataset]["base"]:
+                written = self.store.read([self.store.write(full)], schema)  # revisions are drawn once
+                full = upsert(self._rows(state, target["datasets"][dataset], dataset), written, "fid")
+            target["datasets"][dataset] = layers.whole(self.store, full)
+            self._check_sets(state, target["datasets"], {dataset})
+            target["head"] = new_id()
+            return target["head"]
+
+        return self._transact(group, change)
+
     def _apply(self, state: dict, target: dict, dataset: str, rows: list, replace: bool) -> None:
         """Gates a batch and puts it into the version's manifest. Its first wrong row, by position, names the error."""
         definition, manifest = self._definition(state, dataset), target["datasets"][dataset]

@@ -363,3 +363,27 @@ def test_unknown_names(engine, ds):
     assert code(engine.read, ds["dataset_id"], fid(1)) == "UNKNOWN_VERSION"
     assert code(engine.branch, fid(1)) == "UNKNOWN_BRANCH"
     assert code(engine.store.state, fid(1)) == "UNKNOWN_VERSION_GROUP"
+
+
+def test_bulk_load(engine, ds, spark):
+    def frame(low, high, name="n"):
+        return spark.range(low, high).selectExpr("lpad(hex(id), 8, '0') || '-0000-0000-0000-000000000000' as fid", f"'{name}' || id as name", "cast(id as decimal(12,3)) as amount", "'SRID=4326;POINT(' || id || ' 1)' as geometry").repartition(3)
+
+    did, v = ds["dataset_id"], ds["default_version_id"]
+    engine.load(did, v, head(engine, ds), frame(0, 30))
+    before = state(engine, ds, "object_id")
+    assert sorted(x[0] for x in before.values()) == list(range(1, 31))
+    engine.load(did, v, head(engine, ds), frame(20, 40, "m"))
+    after = state(engine, ds, "object_id", "name")
+    assert len(after) == 40 and all(after[k][0] == n for k, (n,) in before.items()) and sorted(x[0] for x in after.values()) == list(range(1, 41))
+    assert sum(x[1].startswith("m") for x in after.values()) == 20
+    put(engine, ds, [row(1)])
+    assert len(state(engine, ds)) == 41
+    old = state(engine, ds)
+    assert code(engine.load, did, v, head(engine, ds), frame(0, 5).unionAll(frame(0, 5))) == "DUPLICATE_FEATURE_UUID"
+    assert code(engine.load, did, v, head(engine, ds), frame(0, 5).drop("name")) == "FIELD_SET_MISMATCH"
+    assert code(engine.load, did, v, head(engine, ds), frame(0, 5, "much too long")) == "CONSTRAINT_VIOLATION"
+    assert code(engine.load, did, v, head(engine, ds), frame(0, 5).selectExpr("'x' as fid", "name", "amount", "geometry")) == "INVALID_FEATURE_ROW"
+    assert state(engine, ds) == old
+    engine.load(did, v, head(engine, ds), frame(0, 2), replace=True)
+    assert len(state(engine, ds)) == 2
