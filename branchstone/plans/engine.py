@@ -5,15 +5,18 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Collection
 from datetime import datetime, timezone
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geometry import TYPE as GEOMETRY
-from ..functions.geometry import from_ewkt, geometry_checks
+from ..functions.geometry import described, from_ewkt, geometry_checks
 from ..functions.predicates import checks, spark_type
 from ..operators.change import upsert
 from ..operators.checks import duplicates, orphans
@@ -24,6 +27,7 @@ from .definition import UUID, DefinitionError, canonical, default_of, fingerprin
 
 
 MOST_ROWS, MOST_EDITS = 10_000, 128
+FEW = 100
 IDENTITY = T.StructType([T.StructField("fid", T.StringType()), T.StructField("object_id", T.LongType())])
 SYSTEM = [T.StructField("fid", T.StringType()), T.StructField("object_id", T.LongType()), T.StructField("feature_revision", T.StringType())]
 
@@ -112,7 +116,7 @@ class Engine:
         if version_group_id is None:
             default = new_id()
             state = {"group_id": group, "sequence": 0, "schema_generation": 0, "default_version_id": default, "versions": {default: {"name": "DEFAULT", "head": new_id(), "datasets": {}, "base_snapshot_id": None}}}
-            state |= {k: {} for k in ("datasets", "revisions", "snapshots", "branches", "plans", "requests")} | {"commits": [], "references": [], "events": [], "event_id": 0, "quota": None}
+            state |= {k: {} for k in ("datasets", "revisions", "snapshots", "branches", "plans", "requests", "measures")} | {"commits": [], "references": [], "events": [], "event_id": 0, "quota": None}
             change(state)
             self._index("version", default, group)
             self.store.commit(state)
@@ -288,14 +292,16 @@ class Engine:
             there = self._existing(state, manifest, dataset, {r["fid"].lower() for r in rows})
             rows = [r if r["fid"].lower() in there else r | {"values": with_defaults(definition, r["values"])} for r in rows]
         typed, error = gated(definition, rows)
-        schema = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("fid", T.StringType()), *[T.StructField(f["name"], spark_type(f)) for f in definition["fields"]], T.StructField("ewkt", T.StringType())])
-        staged = self.spark.createDataFrame(typed, schema)
-        if definition["geometry"] is not None:
-            staged = staged.withColumn("geom", from_ewkt(F.col("ewkt")))
-            broken = staged.where("ewkt is not null and geom.ewkb is null").agg(F.min("position")).first()[0]
-            if broken is not None and (error is None or broken < error[0]):
-                staged, error = staged.where(F.col("position") < broken), (broken, "INVALID_GEOMETRY_INPUT", "")
-            staged = staged.withColumn("geom", F.when(F.col("ewkt").isNotNull(), F.col("geom")))
+        if definition["geometry"] is not None:  # a batch is bounded, so its geometries are read here
+            for k, r in enumerate(typed):
+                shape = described(r[-1])
+                if r[-1] is not None and shape is None:
+                    typed, error = typed[:k], (k, "INVALID_GEOMETRY_INPUT", "")
+                    break
+                typed[k] = (*r[:-1], shape)
+        else:
+            typed = [r[:-1] for r in typed]
+        staged = self._local(typed, T.StructType([T.StructField("position", T.IntegerType()), T.StructField("fid", T.StringType()), *fields_schema(definition)]))
         self._check_rows(staged, definition, "position")
         if error is not None:
             raise EngineError(error[1], error[2])
@@ -307,27 +313,35 @@ class Engine:
         require(entry["next_object_id"] + len(fresh) <= 1 << 63, "OBJECT_ID_OVERFLOW")
         if fresh:
             made = [(f, entry["next_object_id"] + k) for k, f in enumerate(fresh)]
-            entry["identity"] = [*entry["identity"], self.store.write(self.spark.createDataFrame(made, IDENTITY))]
+            entry["identity"] = [*entry["identity"], self.store.write(self._local(made, IDENTITY))]
             entry["next_object_id"] += len(fresh)
             known |= dict(made)
-        names = self.spark.createDataFrame([(f, known[f], new_id()) for f in fids], T.StructType(SYSTEM))  # revisions are drawn once
+        names = self._local([(f, known[f], new_id()) for f in fids], T.StructType(SYSTEM))  # revisions are drawn once
         full = staged.join(F.broadcast(names), "fid").select(*rows_schema(definition).names)  # a batch has MOST_ROWS rows at most
         if replace:
             target["datasets"][dataset] = layers.whole(self.store, full)
         elif fids:
             target["datasets"][dataset] = layers.with_changes(self.store, manifest, rows_schema(definition), full, None, len(fids), state["sequence"] + 1)
 
+    def _local(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
+        """A bounded number of rows as a relation of the plan itself."""
+        columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+        table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
+        return self.spark.createDataFrame(table, schema).coalesce(1)
+
+    def _among(self, df: DataFrame, fids: Collection[str]) -> DataFrame:
+        """The rows of these keys: a pushed-down filter for a few, else a join with a batch's worth of them."""
+        if len(fids) <= FEW:
+            return df.where(F.col("fid").isin(sorted(fids)))
+        wanted = self._local([(f,) for f in sorted(fids)], T.StructType([T.StructField("fid", T.StringType())]))
+        return df.join(F.broadcast(wanted), "fid", "left_semi")
+
     def _existing(self, state: dict, manifest: dict, dataset: str, fids: set[str]) -> set[str]:
-        if not fids:
-            return set()
-        wanted = self.spark.createDataFrame([(f,) for f in sorted(fids)], "fid string")
-        return {r["fid"] for r in self._rows(state, manifest, dataset).select("fid").join(F.broadcast(wanted), "fid", "left_semi").collect()}
+        return {r["fid"] for r in self._among(self._rows(state, manifest, dataset).select("fid"), fids).collect()} if fids else set()
 
     def _known(self, registry: list[str], fids: list[str]) -> dict[str, int]:
-        if not registry or not fids:
-            return {}
-        wanted = self.spark.createDataFrame([(f,) for f in fids], "fid string")
-        return {r["fid"]: r["object_id"] for r in self.store.read(registry, IDENTITY).join(F.broadcast(wanted), "fid").collect()}
+        found = self._among(self.store.read(registry, IDENTITY), fids).collect() if registry and fids else []
+        return {r["fid"]: r["object_id"] for r in found}
 
     def _check_rows(self, rows: DataFrame, definition: dict, order: str = "fid") -> None:
         found = [F.when(~ok, F.lit(name)) for name, ok in all_checks(definition)]

@@ -70,13 +70,8 @@ class Workspace(Branches):
             plan, target = new_id(), self._capture(state, branch)
             base, parts = state["snapshots"][version["base_snapshot_id"]]["datasets"], {}
             for dataset in sorted(version["datasets"]):
-                schema = rows_schema(self._definition(state, dataset))
-                sides = [self._rows(state, x, dataset) for x in (base[dataset]["manifest"], version["datasets"][dataset], default["datasets"][dataset])]
-                done = m.three_way_merge(*sides, "fid", self._fields(state, dataset), CARRIED)
-                kept = self.store.write(done.withColumn("merged", self._revised(done)))
-                whole = self.spark.read.parquet(f"{self.store.log.root}/{kept}")
-                found = m.conflicts(whole, "fid")
-                parts[dataset] = {"candidate": layers.whole(self.store, m.candidate(whole, "fid").select(*schema.names)), "merge": kept, "open": found.count(), "resolved": {}}
+                manifests = (base[dataset]["manifest"], version["datasets"][dataset], default["datasets"][dataset])
+                parts[dataset] = self._merged(state, dataset, *manifests)
             # what stands in the candidate must hold together, before anyone decides on the rest
             self._check_sets(state, {d: p["candidate"] for d, p in parts.items()}, set(parts))
             state["plans"][plan] = {
@@ -88,6 +83,19 @@ class Workspace(Branches):
 
         return self._transact(group, change)
 
+    def _merged(self, state: dict, dataset: str, base: dict, ours: dict, theirs: dict) -> dict:
+        """A dataset's part of a plan. Where one side names the base's own folders nothing needs reading: the merge of
+        any row with an unchanged side is the other side's."""
+        if ours == base or theirs in (base, ours):
+            return {"candidate": theirs if ours == base else ours, "merge": None, "open": 0, "resolved": {}}
+        schema = rows_schema(self._definition(state, dataset))
+        sides = [self._rows(state, x, dataset) for x in (base, ours, theirs)]
+        done = m.three_way_merge(*sides, "fid", self._fields(state, dataset), CARRIED)
+        kept = self.store.write(done.withColumn("merged", self._revised(done)))
+        whole = self.spark.read.parquet(f"{self.store.log.root}/{kept}")
+        candidate = layers.whole(self.store, m.candidate(whole, "fid").select(*schema.names))
+        return {"candidate": candidate, "merge": kept, "open": m.conflicts(whole, "fid").count(), "resolved": {}}
+
     @staticmethod
     def _revised(done: DataFrame):
         """Rows that are merged of both sides get a revision of their own, made of theirs so that it never changes."""
@@ -104,7 +112,11 @@ class Workspace(Branches):
 
     def plan_conflicts(self, group: str, plan: str, dataset: str) -> DataFrame:
         """The conflicts of a plan that nobody has decided."""
-        part = self._plan(self.store.state(group), plan)["datasets"][dataset]
+        state = self.store.state(group)
+        part = self._plan(state, plan)["datasets"][dataset]
+        if part["merge"] is None:
+            rows = self.store.read([], rows_schema(self._definition(state, dataset)))
+            return m.conflicts(m.three_way_merge(rows, rows, rows, "fid", self._fields(state, dataset), CARRIED), "fid")
         found = m.conflicts(self.spark.read.parquet(f"{self.store.log.root}/{part['merge']}"), "fid")
         return found.where(~F.col("fid").isin(list(part["resolved"]))) if part["resolved"] else found
 
@@ -115,7 +127,7 @@ class Workspace(Branches):
         def change(state: dict) -> bool:
             p = self._plan(state, plan)
             require(p["status"] == "prepared" and not p["sealed"], "INVALID_PLAN")
-            require(dataset in p["datasets"], "UNKNOWN_CONFLICT")
+            require(dataset in p["datasets"] and p["datasets"][dataset]["merge"] is not None, "UNKNOWN_CONFLICT")
             part, key = p["datasets"][dataset], fid.lower()
             found = m.conflicts(self.spark.read.parquet(f"{self.store.log.root}/{part['merge']}"), "fid").where(F.col("fid") == key)
             require(key not in part["resolved"] and not found.isEmpty(), "UNKNOWN_CONFLICT")
