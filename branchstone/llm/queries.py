@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .license_scan import license_scan, license_sql
 from .mixing import mix
 from .quality_rules import quality_rules
+from .quality_sql import quality_sql
 from .simhash import simhash_components
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
@@ -25,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_table(spark, sf_dir, "documents"))
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,4 +211,5 @@ ORACLE_SQL: dict[str, str] = {
                || ',"id":"' || call_id || '","name":"' || case when search then 'search' else 'translate' end
                || '","result":' || coalesce(to_json(content)::varchar, 'null') || '}' as json
         from checked""",
+    "op1_quality_rules": quality_sql(),
 }
