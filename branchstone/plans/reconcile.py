@@ -49,6 +49,15 @@ class Workspace(Branches):
 
         return self._transact(group, change)
 
+    def capture(self, group: str, version: str) -> str:
+        """A sealed snapshot of any version as it is now."""
+
+        def change(state: dict) -> str:
+            require(version in state["versions"], "UNKNOWN_VERSION")
+            return self._capture(state, version, version=version)
+
+        return self._transact(group, change)
+
     def _fields(self, state: dict, dataset: str) -> list[str]:
         return [n for n in rows_schema(self._definition(state, dataset)).names if n not in ("fid", *CARRIED)]
 

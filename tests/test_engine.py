@@ -1,6 +1,7 @@
 """The engine end to end on a root folder of its own: exact states, exact error codes, nothing left of what failed."""
 
 import json
+import shutil
 import threading
 import uuid
 from datetime import date, datetime, timezone
@@ -11,7 +12,8 @@ import pytest
 from branchstone.operators.identity import object_id_int32
 from branchstone.plans.reconcile import Workspace
 from branchstone.queries import PART_DEFINITION
-from branchstone.sources.log import EngineError
+from branchstone.sources.batch import read_batch
+from branchstone.sources.log import EngineError, Log, migrate
 from branchstone.streaming.outbox import outbox
 from tests.test_definition import V1, changed
 
@@ -387,3 +389,44 @@ def test_bulk_load(engine, ds, spark):
     assert state(engine, ds) == old
     engine.load(did, v, head(engine, ds), frame(0, 2), replace=True)
     assert len(state(engine, ds)) == 2
+
+
+def test_capture_and_backup(engine, ds, spark, tmp_path):
+    put(engine, ds, [row(1, "old")])
+    snapshot = engine.capture(ds["version_group_id"], ds["default_version_id"])
+    put(engine, ds, [row(1, "new")])
+    assert [r.name for r in engine.read_snapshot(ds["dataset_id"], snapshot).collect()] == ["old"]
+    assert code(engine.capture, ds["version_group_id"], fid(1)) == "UNKNOWN_VERSION"
+    shutil.copytree(tmp_path / "root", tmp_path / "copy")  # names within a root are relative
+    restored = Workspace(spark, f"file://{tmp_path}/copy")
+    assert restored.export_schema(ds["dataset_id"]) == engine.export_schema(ds["dataset_id"])
+    put(restored, ds, [row(2)])
+    assert len(state(restored, ds)) == 2 and len(state(engine, ds)) == 1
+
+
+def test_format_history(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "root"))
+    assert (migrate(log, ["a"]), migrate(log, ["a"]), migrate(log, ["a", "b"])) == (1, 0, 1)
+    for steps in (["a"], ["b", "a"], ["a", "c"]):
+        assert code(migrate, log, steps) == "MIGRATION_IDENTITY_MISMATCH"
+    other = Log(spark, str(tmp_path / "other"))
+    other.create("groups/g/log/1.json", {})
+    assert code(migrate, other, ["a"]) == "UNMARKED_SCHEMA_ADOPTION_UNSUPPORTED"
+
+
+def test_json_batches(engine, ds):
+    text = json.dumps([row(1, "é")])
+    put(engine, ds, read_batch(text))
+    assert state(engine, ds, "name") == {fid(1): ("é",)}
+    for bad in ("{}", "[1", "[NaN]"):
+        assert code(read_batch, bad) == "INVALID_MANAGED_REQUEST"
+    assert code(read_batch, "[" + " " * 99 + "]", 50) == "MANAGED_BATCH_LIMIT"
+
+
+def test_log_through_hadoop(spark, tmp_path):
+    log = Log(spark, str(tmp_path / "root"))
+    log.local = None  # as for a root that only Hadoop's file systems reach
+    assert log.names("a/b") == []
+    assert log.create("a/b/1.json", {"x": "é"}) and log.create("a/b/2.json", [1])
+    assert log.names("a/b") == ["1.json", "2.json"]
+    assert log.read("a/b/1.json") == {"x": "é"} and log.read("a/b/2.json") == [1]
