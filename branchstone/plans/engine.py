@@ -261,9 +261,12 @@ class Engine:
             staged = rows.select(fid.alias("fid"), *wanted, *([from_ewkt(F.col("geometry")).alias("geom"), F.col("geometry").isNotNull().alias("__text")] if geometry else []), F.monotonically_increasing_id().alias("__position"))
             name = self.store.write(staged)
             staged = self.spark.read.parquet(f"{self.store.log.root}/{name}")
-            require(staged.where(~F.coalesce(F.col("fid").rlike(rf"\A(?:{UUID})\z"), F.lit(False))).isEmpty(), "INVALID_FEATURE_ROW")
+            named = F.coalesce(F.col("fid").rlike(rf"\A(?:{UUID})\z"), F.lit(False))
+            read = ~F.col("__text") | F.col("geom.ewkb").isNotNull() if geometry else F.lit(True)
+            wrong = staged.agg(F.count_if(~named), F.count_if(~read)).first()
+            require(wrong[0] == 0, "INVALID_FEATURE_ROW")
+            require(wrong[1] == 0, "INVALID_GEOMETRY_INPUT")
             require(duplicates(staged, ["fid"]).isEmpty(), "DUPLICATE_FEATURE_UUID")
-            require(not geometry or staged.where("__text and geom.ewkb is null").isEmpty(), "INVALID_GEOMETRY_INPUT")
             if geometry:
                 staged = staged.withColumn("geom", F.when(F.col("__text"), F.col("geom")))
             self._check_rows(staged, definition, "__position")
