@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import split
+from .pretokens import chunks, split
 from .textscan import pieces
 
+LONG = 1 << 21  # bytes of a text that is encoded part by part
 MOST_WORDS = 400_000  # that a worker remembers; then it begins anew
 
 
@@ -171,11 +172,27 @@ def codec_of(held: dict) -> Codec:
     return held["codec"]
 
 
+def long_digests(codec: Codec, text: str) -> tuple[int, str, str]:
+    """Count and digests of a text that is encoded and decoded part by part, so that no list of all its tokens is held."""
+    count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+    for part in [text] if any(" " in s for s in codec.special) else chunks(text):  # a cut may not part a special token
+        ids, counts = codec.encode([part])
+        count += len(ids)
+        of_ids.update(ids.astype("<u4"))
+        of_text.update(codec.decode(ids, counts)[0])
+    return count, of_ids.hexdigest(), of_text.hexdigest()
+
+
 def _encoded(vocabulary, digests: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(vocabulary.value)
         for batch in batches:
             for a, b, texts in pieces(batch, batch.num_columns - 1):
+                if digests and len(texts[0]) > LONG:  # alone in its piece
+                    found = long_digests(codec, texts[0].decode("utf-8", "replace"))
+                    columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x]) for x in found)], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+                    continue
                 ids, counts = codec.encode([t.decode("utf-8", "replace") for t in texts])
                 decoded, ends = codec.decode(ids, counts), np.r_[0, np.cumsum(counts)]
                 columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]

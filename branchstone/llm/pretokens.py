@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import regex
 
@@ -18,3 +19,15 @@ _plain = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_latin}]+| ?[0-9]+| ?[^\s0-9{_la
 
 def split(text: str) -> list[str]:
     return (_any if _beyond.search(text) else _plain).findall(text)
+
+
+_cut = re.compile(r"(?<=\S)(?= )")
+
+
+def chunks(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A text in parts of about `most` characters, cut before a space that follows another sign: no pre-token spans that."""
+    at = 0
+    while len(text) - at > most and (found := _cut.search(text, at + most)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import split
+from .pretokens import chunks, split
 from .textscan import pieces
 
 MOST_NODES = 3_000_000  # of a worker's trie; then it begins anew
@@ -60,16 +60,13 @@ class Trie:
             path.append(best[node])
         self.terminal[word] = best[node][1]
 
-    def counts(self, lists: list[list[str]]) -> list[int]:
-        """Tokens of each list of pre-tokens."""
+    def counts(self, words: list[str]) -> int:
+        """Tokens of a list of pre-tokens."""
         if len(self.best) > MOST_NODES:
             self.forget()
-        fresh = set()
-        for words in lists:
-            fresh.update(words)
-        for word in fresh.difference(self.terminal):
+        for word in set(words).difference(self.terminal):
             self.insert(word)
-        return [sum(map(self.terminal.__getitem__, words)) for words in lists]
+        return sum(map(self.terminal.__getitem__, words))
 
 
 def _counted(costs):
@@ -80,9 +77,15 @@ def _counted(costs):
         trie = held["trie"]
         for batch in batches:
             for a, b, texts in pieces(batch, batch.num_columns - 1):
-                lists = [split(t.decode("utf-8", "replace")) for t in texts]
+                found = []
+                for text in texts:
+                    words = tokens = 0
+                    for part in chunks(text.decode("utf-8", "replace")):  # no list of all words of a long text is held
+                        parts = split(part)
+                        words, tokens = words + len(parts), tokens + trie.counts(parts)
+                    found.append((words, tokens))
                 columns = [batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)]
-                columns += [pa.array(map(len, lists), pa.int64()), pa.array(trie.counts(lists), pa.int64())]
+                columns += [pa.array(c, pa.int64()) for c in zip(*found, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_pretokens", "n_tokens"])
 
     return run

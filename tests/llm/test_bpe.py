@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from branchstone.llm.bpe import Codec, bpe_encode, read_vocabulary
+from branchstone.llm.bpe import Codec, bpe_encode, long_digests, read_vocabulary
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,8 +28,16 @@ def library():
     return found
 
 
+def test_long_texts_part_by_part(library, monkeypatch):
+    codec = Codec(**read_vocabulary(PATH))
+    for text in ["", *texts()[4:7], "The quick  brown\n fox's <|endoftext|> é漢😀 " * 60_000]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        want = len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        assert long_digests(codec, text) == want
+
+
 def test_matches_the_library(spark, library):
-    rows = [(k, t) for k, t in enumerate(texts())] + [(9000, None), (9001, "twice"), (9001, "twice"), (None, "no id")]
+    rows = [(k, t) for k, t in enumerate(texts())] + [(9000, None), (9001, "twice"), (9001, "twice"), (None, "no id"), (9002, "long text 1\n" * 200_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as ids", "2 as N_tokens", "'x' as other").repartition(4)
     got = bpe_encode(df, PATH).collect()
     assert got[0].__fields__ == ["doc_id", "other", "n_tokens", "ids", "decoded"]

@@ -4,7 +4,7 @@ import public_tokenizers
 import regex
 
 from branchstone.llm import token_counts as module
-from branchstone.llm.pretokens import PATTERN, split
+from branchstone.llm.pretokens import PATTERN, chunks, split
 from branchstone.llm.token_counts import Trie, read_costs, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,22 +39,30 @@ def test_counts_match_brute_force(spark, monkeypatch):
 
 def test_unknown_bytes_and_ties():
     trie = Trie({b"a": 5, b"b": 5, b"ab": 10, b"bc": 30_000_005})
-    assert trie.counts([["ab", "abc", "z"]]) == [1 + 2 + 1]  # ties go to fewer tokens
+    assert trie.counts(["ab", "abc", "z"]) == 1 + 2 + 1  # ties go to fewer tokens
 
 
 def test_forgetting_changes_nothing(monkeypatch):
     costs, lists = read_costs(PATH), [split(t) for t in texts()]
-    want = Trie(costs).counts(lists)
+    want = list(map(Trie(costs).counts, lists))
     monkeypatch.setattr(module, "MOST_NODES", 10)
     trie = Trie(costs)
-    assert [trie.counts([x])[0] for x in lists] == want
+    assert list(map(trie.counts, lists)) == want
 
 
 def test_prefixes_are_shared():
     trie = Trie(read_costs(PATH))
-    trie.counts([["nation", "national", "nationals"]])
+    trie.counts(["nation", "national", "nationals"])
     assert len(trie.best) == 1 + len("nationals")
 
 
 def test_empty(spark):
     assert token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_long_texts_are_cut_between_pretokens():
+    for text in [*texts(), "a  b \n c 's " * 50]:
+        for most in (1, 3, 10):
+            parts = list(chunks(text, most))
+            assert "".join(parts) == text
+            assert [w for p in parts for w in split(p)] == regex.findall(PATTERN, text)
