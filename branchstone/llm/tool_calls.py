@@ -75,6 +75,11 @@ def depths(calls: DataFrame) -> DataFrame:
     return now.select("key", F.when(F.col("up").isNull(), F.col("depth")).otherwise(-1).alias("depth"))
 
 
+def _digest(*parts: Column) -> Column:
+    """16 bytes for a few texts: what is linked and ordered is this, not they."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", *parts)))
+
+
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """A row for each call: conv_id, call_id, depth, position, n_results, duplicate, after_missing, valid, errors, json.
 
@@ -82,41 +87,51 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     results: conv_id, call_id, turn, content. schemas: JSON Schemas of plain objects by tool name, in the driver's hands.
 
     Calls and results are joined by a hash of (conv_id, call_id). An identifier belongs to the first call by turn, then
-    name, then arguments; later calls with it are duplicates: they get no result and wait for nothing. Of several
-    results the first by turn, then content, is taken and all are counted; results without a call go. A call's `after`
-    that no call of the conversation has is reported and counts as none. depth: how many calls lead to a call; -1 in or
-    behind a cycle. position: the place among the conversation's calls by depth, turn, call_id, so that each comes after
-    what it waits for. json: {"after","arguments","id","name","result"}, keys sorted at every level, no white space,
-    numbers in their shortest form; arguments that are no JSON are null there. valid: no error against the tool's schema.
+    by a digest of name and arguments; later calls with it are duplicates: they get no result and wait for nothing. Of
+    several results the first by turn, then content, is taken and all are counted; results without a call go. A call's
+    `after` that no call of the conversation has is reported and counts as none. depth: how many calls lead to a call; -1
+    in or behind a cycle. position: the place among the conversation's calls by depth, turn, call_id, so that each comes
+    after what it waits for; calls equal in all of these and in the digest share the place of the first of them. json:
+    {"after","arguments","id","name","result"}, keys sorted at every level, no white space, numbers in their shortest
+    form; arguments that are no JSON are null there. valid: no error against the tool's schema.
 
     Null conv_ids are a conversation of their own; null call_ids are an identifier like any other; null turns count as
-    0, null names as no tool, null arguments as no JSON. Equal rows give equal rows but for the position. Other columns
-    are ignored. Empty calls give an empty result. A conversation or an identifier with a third of all rows is not
-    gathered: rows meet one summed row for each identifier, and are numbered in runs."""
-    key = F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")), F.coalesce("call_id", F.lit("\x00"))), 256)
-    calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("name").cast("string").alias("name"), F.col("arguments").cast("string").alias("arguments"), F.col("after").cast("string").alias("after_id"))
-    calls = calls.withColumn("key", key).withColumn("conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("\x00")))
-    calls = written(calls.withColumn("low", F.struct("turn", F.coalesce("name", F.lit("")), F.coalesce("arguments", F.lit("")))), "calls")
-    results = results.select("conv_id", F.col("call_id").cast("string").alias("call_id"), F.coalesce(F.col("turn").cast("long"), F.lit(0)).alias("turn"), F.col("content").cast("string").alias("content"))
+    0, null names as no tool, null arguments as no JSON. Equal rows give equal rows. Other columns are ignored. Empty
+    calls give an empty result. A conversation or an identifier with a third of all rows is not gathered: linking and
+    ordering work on summed rows of keys and digests alone; texts move when linked to their place and to their result."""
+    nothing = F.lit("\x00")
+    conv = F.coalesce(F.col("conv_id").cast("string"), nothing)
+    key = _digest(conv, F.coalesce("call_id", nothing))
+    turn = F.coalesce(F.col("turn").cast("long"), F.lit(0))
+    calls = calls.select("conv_id", F.col("call_id").cast("string").alias("call_id"), turn.alias("turn"), *[F.col(c).cast("string").alias(c) for c in ("name", "arguments", "after")])
+    calls = calls.withColumn("key", key).withColumn("digest", _digest(*[F.coalesce(c, nothing) for c in ("name", "arguments")]))
+    calls = calls.withColumn("call", F.unhex(F.md5(F.concat("key", F.col("turn").cast("string").cast("binary"), "digest"))))
+    results = results.select("conv_id", F.col("call_id").cast("string").alias("call_id"), turn.alias("turn"), F.col("content").cast("string").alias("content"))
     answers = results.select(key.alias("key"), F.struct("turn", "content").alias("r")).groupBy("key").agg(F.min("r").alias("r"), F.count("*").alias("n_results"))
-    names = calls.groupBy("key").agg(F.min("low").alias("first"), F.count("*").alias("n"), F.min(F.struct("low", "after_id", "conv_id")).alias("own"))
-    names = written(names.join(answers.hint("shuffle_hash"), "key", "left").select("key", "first", "n", "own", F.col("r.content").alias("content"), F.coalesce("n_results", F.lit(0)).alias("n_results")), "identifiers")
 
-    waits = names.select("key", F.when(F.col("own.after_id").isNotNull(), F.sha2(F.concat_ws("\x1f", F.coalesce(F.col("own.conv_id").cast("string"), F.lit("\x00")), "own.after_id"), 256)).alias("wanted"))
+    distinct = calls.groupBy("call", "key", conv.alias("conv"), "call_id", "turn", "digest").agg(F.count("*").alias("n"), F.min(F.struct("after")).alias("own"))
+    distinct = written(distinct, "distinct-calls")
+    names = distinct.groupBy("key", "conv").agg(F.min(F.struct("turn", "digest", "own.after", "call")).alias("first"))
+    waits = names.select("key", F.when(F.col("first.after").isNotNull(), _digest(F.col("conv"), F.col("first.after"))).alias("wanted"))
     there = names.select(F.col("key").alias("wanted"), F.lit(True).alias("there"))
-    waits = waits.join(there, "wanted", "left").select("key", F.when(F.col("there"), F.col("wanted")).alias("after"), (F.col("wanted").isNotNull() & F.col("there").isNull()).alias("after_missing"))
+    waits = waits.join(there, "wanted", "left").select("key", F.when(F.col("there"), F.col("wanted")).alias("after"), (F.col("wanted").isNotNull() & F.col("there").isNull()).alias("missing"))
     waits = written(waits, "waits")
-    names = names.join(waits.select("key", "after_missing"), "key").join(depths(waits), "key")
-
-    linked = join_groups(calls, written(names, "named"), "key", "n", calls.count())
-    linked = linked.withColumn("duplicate", F.col("low") != F.col("first"))
-    for name, value in {"depth": F.lit(0).cast("long"), "n_results": F.lit(0).cast("long"), "after_missing": F.lit(False), "content": F.lit(None).cast("string"), "after_id": F.lit(None).cast("string")}.items():
-        linked = linked.withColumn(name, F.when(F.col("duplicate"), value).otherwise(F.col(name)))
+    firsts = names.join(waits.select("key", "missing"), "key").join(depths(waits), "key")
+    firsts = firsts.select(F.col("first.call").alias("call"), F.col("first.after").alias("after_id"), F.col("missing").alias("after_missing"), "depth")
+    places = distinct.join(firsts.withColumn("is_first", F.lit(True)), "call", "left")
+    places = places.withColumn("duplicate", F.col("is_first").isNull()).withColumn("depth", F.coalesce("depth", F.lit(0).cast("long")))
     # runs by depth, then turn; those without end come last
     last = F.when(F.col("depth") < 0, F.lit((1 << 31) - 1)).otherwise(F.least("depth", F.lit((1 << 31) - 2)))
-    linked = written(linked.withColumn("run", F.shiftleft(last.cast("long"), 31) + F.least(F.expr(f"turn div {RUN}"), F.lit((1 << 31) - 1))), "linked")
-    within = Window.partitionBy("conv", "run").orderBy("depth", "turn", "call_id", "name", "arguments")
-    numbered = linked.withColumn("within", F.row_number().over(within)).join(running_offsets(linked, ["conv"], "run", F.count("*")), ["conv", "run"])
-    numbered = validated(numbered.withColumn("position", F.col("within") + F.col("before")), schemas)
-    line = F.to_json(F.struct(F.col("after_id").alias("after"), F.col("value").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result")), {"ignoreNullFields": "false"})
-    return numbered.select("conv_id", "call_id", "depth", "position", "n_results", "duplicate", "after_missing", (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), line.alias("json"))
+    run = F.shiftleft(last.cast("long"), 31) + F.least(F.expr(f"turn div {RUN}"), F.lit((1 << 31) - 1))
+    places = written(places.select("call", "conv", "call_id", "turn", "digest", "n", "duplicate", "depth", "after_id", F.coalesce("after_missing", F.lit(False)).alias("after_missing"), run.alias("run")), "places")
+    within = Window.partitionBy("conv", "run").orderBy("depth", "turn", "call_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(running_offsets(places, ["conv"], "run", F.sum("n")), ["conv", "run"])
+    places = written(places.select("call", "n", "duplicate", "depth", "after_id", "after_missing", (F.col("within") + F.col("before") + 1).alias("position")), "positions")
+
+    linked = join_groups(calls.select("conv_id", "call_id", "name", "arguments", "key", "call"), places, "call", "n", distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # duplicates get no result: keys of their own keep them apart
+    linked = linked.withColumn("key", F.when(F.col("duplicate"), F.concat(F.lit(b"-"), "call")).otherwise(F.col("key")))
+    linked = linked.join(answers.hint("shuffle_hash"), "key", "left")
+    linked = validated(linked, schemas)
+    line = F.to_json(F.struct(F.col("after_id").alias("after"), F.col("value").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("r.content").alias("result")), {"ignoreNullFields": "false"})
+    return linked.select("conv_id", "call_id", "depth", "position", F.coalesce("n_results", F.lit(0).cast("long")).alias("n_results"), "duplicate", "after_missing", (F.size("errors") == 0).alias("valid"), F.array_join("errors", "; ").alias("errors"), line.alias("json"))
