@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Collection
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Any
 
@@ -32,6 +33,17 @@ IDENTITY = T.StructType([T.StructField("fid", T.StringType()), T.StructField("ob
 SYSTEM = [T.StructField("fid", T.StringType()), T.StructField("object_id", T.LongType()), T.StructField("feature_revision", T.StringType())]
 
 
+@dataclass(frozen=True)
+class Touched:
+    """The keys that a batch wrote and those that it removed; None for any number of them."""
+
+    written: frozenset[str] | None = None
+    removed: frozenset[str] | None = None
+
+
+ALL = Touched()
+
+
 def new_id() -> str:
     return str(uuid.uuid4())
 
@@ -169,7 +181,7 @@ class Engine:
             state["schema_generation"] += 1
             version["head"] = new_id()
             self._check_rows(self._rows(state, version["datasets"][dataset], dataset), definition)
-            self._check_sets(state, version["datasets"], {dataset})
+            self._check_sets(state, version["datasets"], {dataset: ALL})
 
         self._transact(group, change)
         return self.export_schema(dataset)
@@ -224,17 +236,18 @@ class Engine:
         def change(state: dict) -> str:
             target = state["versions"][version]
             require(target["head"] == expected_head, "STALE_HEAD")
-            total, seen = 0, set()
+            total, seen = 0, {}
             for edit in edits:
                 ok = isinstance(edit, dict) and set(edit) == {"dataset_id", "rows", "replace"} and isinstance(edit["dataset_id"], str)
                 require(ok and isinstance(edit["rows"], list) and type(edit["replace"]) is bool, "INVALID_MANAGED_GROUP_EDIT")
                 dataset = edit["dataset_id"].lower()
                 require(dataset not in seen, "DUPLICATE_DATASET_EDIT")
-                seen.add(dataset)
+                seen[dataset] = ALL if edit["replace"] else None
                 total += len(edit["rows"])
                 require(total <= MOST_ROWS, "MANAGED_BATCH_LIMIT")
                 require(dataset in target["datasets"] and version == state["default_version_id"], "DATASET_VERSION_MISMATCH")
-                self._apply(state, target, dataset, edit["rows"], edit["replace"])
+                fids = self._apply(state, target, dataset, edit["rows"], edit["replace"])
+                seen[dataset] = seen[dataset] or Touched(frozenset(fids), frozenset())
             self._check_sets(state, target["datasets"], seen)
             target["head"] = new_id()
             return target["head"]
@@ -280,14 +293,15 @@ class Engine:
                 written = self.store.read([self.store.write(full)], schema)  # revisions are drawn once
                 full = upsert(self._rows(state, target["datasets"][dataset], dataset), written, "fid")
             target["datasets"][dataset] = layers.whole(self.store, full)
-            self._check_sets(state, target["datasets"], {dataset})
+            self._check_sets(state, target["datasets"], {dataset: ALL})
             target["head"] = new_id()
             return target["head"]
 
         return self._transact(group, change)
 
-    def _apply(self, state: dict, target: dict, dataset: str, rows: list, replace: bool) -> None:
-        """Gates a batch and puts it into the version's manifest. Its first wrong row, by position, names the error."""
+    def _apply(self, state: dict, target: dict, dataset: str, rows: list, replace: bool) -> list[str]:
+        """Gates a batch and puts it into the version's manifest. Its first wrong row, by position, names the error.
+        Returns the keys."""
         definition, manifest = self._definition(state, dataset), target["datasets"][dataset]
         for row in rows:
             require(isinstance(row, dict) and isinstance(row.get("fid"), str) and isinstance(row.get("values"), dict), "INVALID_FEATURE_ROW")
@@ -325,6 +339,7 @@ class Engine:
             target["datasets"][dataset] = layers.whole(self.store, full)
         elif fids:
             target["datasets"][dataset] = layers.with_changes(self.store, manifest, rows_schema(definition), full, None, len(fids), state["sequence"] + 1)
+        return fids
 
     def _local(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
         """A bounded number of rows as a relation of the plan itself."""
@@ -332,12 +347,12 @@ class Engine:
         table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
         return self.spark.createDataFrame(table, schema).coalesce(1)
 
-    def _among(self, df: DataFrame, fids: Collection[str]) -> DataFrame:
-        """The rows of these keys: a pushed-down filter for a few, else a join with a batch's worth of them."""
-        if len(fids) <= FEW:
-            return df.where(F.col("fid").isin(sorted(fids)))
-        wanted = self._local([(f,) for f in sorted(fids)], T.StructType([T.StructField("fid", T.StringType())]))
-        return df.join(F.broadcast(wanted), "fid", "left_semi")
+    def _among(self, df: DataFrame, values: Collection[str], column: str = "fid") -> DataFrame:
+        """The rows with these values: a pushed-down filter for a few, else a join with a batch's worth of them."""
+        if len(values) <= FEW:
+            return df.where(F.col(column).isin(sorted(values)))
+        wanted = self._local([(v,) for v in sorted(values)], T.StructType([T.StructField(column, T.StringType())]))
+        return df.join(F.broadcast(wanted), column, "left_semi")
 
     def _existing(self, state: dict, manifest: dict, dataset: str, fids: set[str]) -> set[str]:
         return {r["fid"] for r in self._among(self._rows(state, manifest, dataset).select("fid"), fids).collect()} if fids else set()
@@ -352,23 +367,38 @@ class Engine:
             bad = rows.select(order, F.filter(F.array(*found), lambda x: x.isNotNull()).alias("bad")).where("size(bad) > 0").orderBy(order).first()
             require(bad is None, "CONSTRAINT_VIOLATION", bad["bad"][0] if bad else "")
 
-    def _check_sets(self, state: dict, manifests: dict, touched: set[str]) -> None:
-        """Relationships and uniqueness of the final state, where a touched dataset is on either side."""
-        for dataset in sorted(state["datasets"]):
-            definition, rows = self._definition(state, dataset), None
-            if dataset not in manifests:
-                continue
-            if dataset in touched and (key := state["datasets"][dataset]["natural_key"]):
-                rows = self._rows(state, manifests[dataset], dataset)
-                require(duplicates(rows, key).isEmpty(), "NATURAL_KEY_VIOLATION", ",".join(key))
+    def _check_sets(self, state: dict, manifests: dict, touched: dict[str, Touched]) -> None:
+        """Relationships and uniqueness of the final state. What a batch has not touched held before, so only the values
+        of its rows are looked up, and the references to what it removed; after a replacement all rows are compared."""
+        for dataset in sorted(set(state["datasets"]) & set(manifests)):
+            definition, mine = self._definition(state, dataset), touched.get(dataset)
+            rows = self._rows(state, manifests[dataset], dataset)
+            if mine and (key := state["datasets"][dataset]["natural_key"]):
+                require(self._unique(rows, key, mine), "NATURAL_KEY_VIOLATION", ",".join(key))
             for r in definition.get("relationships", []):
-                if dataset not in touched and r["target_dataset"] not in touched:
-                    continue
-                rows = rows or self._rows(state, manifests[dataset], dataset)
-                parent = self._rows(state, manifests[r["target_dataset"]], r["target_dataset"])
-                require(orphans(rows, r["field"], parent, "fid").isEmpty(), "RELATIONSHIP_VIOLATION", r["name"])
-                if r["cardinality"] == "one-to-one":
-                    require(duplicates(rows, [r["field"]]).isEmpty(), "RELATIONSHIP_VIOLATION", r["name"])
+                target = r["target_dataset"]
+                theirs = touched.get(target)
+                parent = self._rows(state, manifests[target], target)
+                if (mine and mine.written is None) or (theirs and theirs.removed is None):
+                    ok = orphans(rows, r["field"], parent, "fid").isEmpty()
+                else:
+                    ok = not (mine and mine.written) or self._referred(rows, r["field"], parent, mine.written)
+                    ok = ok and not (theirs and theirs.removed and not self._among(rows, theirs.removed, r["field"]).isEmpty())
+                ok = ok and (r["cardinality"] != "one-to-one" or not mine or self._unique(rows, [r["field"]], mine))
+                require(ok, "RELATIONSHIP_VIOLATION", r["name"])
+
+    def _referred(self, rows: DataFrame, field: str, parent: DataFrame, fids: Collection[str]) -> bool:
+        """Whether all that these rows refer to is there."""
+        wanted = {r[0] for r in self._among(rows, fids).where(F.col(field).isNotNull()).select(field).distinct().collect()}
+        return not wanted or self._among(parent.select("fid"), wanted).count() == len(wanted)
+
+    def _unique(self, rows: DataFrame, key: list[str], mine: Touched) -> bool:
+        if mine.written is None:
+            return duplicates(rows, key).isEmpty()
+        if not mine.written:
+            return True
+        values = self._among(rows, mine.written).select(*key).distinct()  # as many as the batch has rows, at most
+        return duplicates(rows.join(F.broadcast(values), key, "left_semi"), key).isEmpty()
 
 
 def with_defaults(definition: dict, values: dict) -> dict:

@@ -14,7 +14,7 @@ from ..operators.change import changed_rows, feature_diff, removed_rows
 from ..sources import layers
 from ..sources.log import require
 from .branches import Branches
-from .engine import is_uuid, new_id, now, rows_schema
+from .engine import ALL, Touched, is_uuid, new_id, now, rows_schema
 
 OPERATIONS = ("insert", "update", "delete")
 CARRIED = ("object_id", "feature_revision")
@@ -42,7 +42,8 @@ class Workspace(Branches):
                 target["datasets"][dataset] = layers.with_changes(self.store, manifest, schema, self.store.read([], schema), gone, 1, state["sequence"] + 1)
             else:
                 self._apply(state, target, dataset, [{"fid": fid, **row}], False)
-            self._check_sets(state, target["datasets"], {dataset})
+            one = frozenset({key})
+            self._check_sets(state, target["datasets"], {dataset: Touched(frozenset(), one) if operation == "delete" else Touched(one, frozenset())})
             target["head"] = new_id()
             self._event(state, "edit", version, actor, dataset_id=dataset, operation=operation, fid=key)
             return target["head"]
@@ -82,7 +83,7 @@ class Workspace(Branches):
                 manifests = (base[dataset]["manifest"], version["datasets"][dataset], default["datasets"][dataset])
                 parts[dataset] = self._merged(state, dataset, *manifests)
             # what stands in the candidate must hold together, before anyone decides on the rest
-            self._check_sets(state, {d: p["candidate"] for d, p in parts.items()}, set(parts))
+            self._check_sets(state, {d: p["candidate"] for d, p in parts.items()}, dict.fromkeys(parts, ALL))
             state["plans"][plan] = {
                 "branch_id": branch, "status": "prepared", "source_head": version["head"], "accepted_head": None, "target_head": default["head"], "target_snapshot_id": target,
                 "schema_generation": state["schema_generation"], "datasets": parts, "sealed": not any(p["open"] for p in parts.values()), "created_at": now(),
@@ -147,7 +148,7 @@ class Workspace(Branches):
             part["open"] -= 1
             p["sealed"] = not any(x["open"] for x in p["datasets"].values())
             if p["sealed"]:
-                self._check_sets(state, {d: x["candidate"] for d, x in p["datasets"].items()}, set(p["datasets"]))
+                self._check_sets(state, {d: x["candidate"] for d, x in p["datasets"].items()}, dict.fromkeys(p["datasets"], ALL))
             self._event(state, "resolve", p["branch_id"], actor, plan_id=plan, dataset_id=dataset, fid=key, choice=choice)
             return p["sealed"]
 

@@ -41,10 +41,11 @@ def with_changes(store: Store, manifest: dict, schema: T.StructType, rows: DataF
         layer = layer.unionByName(keys)
     out = {"base": list(manifest["base"]), "layers": [*manifest["layers"], store.write(layer)], "changed": manifest["changed"] + count}
     if len(out["layers"]) > KEPT or out["changed"] > MOST_CHANGED or not manifest["base"]:
-        return {"base": [store.write(read(store, out, schema))], "layers": [], "changed": 0}
+        return whole(store, read(store, out, schema))
     return out
 
 
 def whole(store: Store, rows: DataFrame) -> dict:
-    """A manifest of rows as a base of its own."""
-    return {"base": [store.write(rows)], "layers": [], "changed": 0}
+    """A manifest of rows as a base of its own, in ranges of the key: a lookup of a few keys reads the row groups whose
+    statistics let them in, not the table."""
+    return {"base": [store.write(rows.repartitionByRange("fid").sortWithinPartitions("fid"))], "layers": [], "changed": 0}

@@ -430,3 +430,25 @@ def test_log_through_hadoop(spark, tmp_path):
     assert log.create("a/b/1.json", {"x": "é"}) and log.create("a/b/2.json", [1])
     assert log.names("a/b") == ["1.json", "2.json"]
     assert log.read("a/b/1.json") == {"x": "é"} and log.read("a/b/2.json") == [1]
+
+
+def test_sets_are_checked_by_what_a_batch_touches(engine):
+    parent, child = kin(engine)
+    engine.configure_branch_quotas(parent["version_group_id"], QUOTA | {k: 1000 for k in QUOTA if k.endswith("_rows")})
+    group(engine, parent, child, [(k, f"p{k}") for k in range(1, 160)], [(1000 + k, k) for k in range(1, 140)])
+    assert code(group, engine, parent, child, [], [(2000, 5)]) == "RELATIONSHIP_VIOLATION"  # taken by another row
+    assert code(group, engine, parent, child, [], [(2000 + k, 5000 + k) for k in range(120)]) == "RELATIONSHIP_VIOLATION"
+    assert code(group, engine, parent, child, [(900, "p7")], []) == "NATURAL_KEY_VIOLATION"
+    h = branch_of(engine, parent)["head_revision"]
+    assert code(engine.edit, fid(100), h, parent["dataset_id"], "delete", fid(3)) == "RELATIONSHIP_VIOLATION"
+    h = engine.edit(fid(100), h, parent["dataset_id"], "delete", fid(150))
+    h = engine.edit(fid(100), h, child["dataset_id"], "update", fid(1003), {"values": {"parent": None}})
+    h = engine.edit(fid(100), h, parent["dataset_id"], "delete", fid(3))
+    assert code(engine.edit, fid(100), h, child["dataset_id"], "update", fid(1003), {"values": {"parent": fid(3)}}) == "RELATIONSHIP_VIOLATION"
+    engine.edit(fid(100), h, child["dataset_id"], "update", fid(1003), {"values": {"parent": fid(151)}})
+
+
+def test_lookups_prune_row_groups(engine, ds, spark):
+    put(engine, ds, [row(k) for k in range(500)])
+    plan = engine._among(engine.read(ds["dataset_id"]), {fid(7)})._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(fid), EqualTo(fid" in plan
