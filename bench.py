@@ -108,6 +108,12 @@ def workload(spark: SparkSession) -> dict[str, float]:
     out["reconcile_accept"] = timed(lambda: engine.accept_reconcile(group, plans[0]))
     plan = engine.plan(group, plans[0])
     out["reconcile_post"] = timed(lambda: engine.post(group, plans[0], plan["accepted_head"], plan["target_head"], new(), "me"))
+    # the same when DEFAULT has moved too: every row of one layer is merged
+    third = branches[2]
+    engine.edit(third, head(third), did, "update", keys[1], row)
+    engine.edit(default, head(default), did, "update", keys[2], row)
+    out["reconcile_prepare_both_moved"] = timed(lambda: plans.append(engine.prepare_reconcile(third)))
+    out["reconcile_accept_both_moved"] = timed(lambda: engine.accept_reconcile(group, plans[1]))
     return {f"workload_{k}": round(v, 4) for k, v in out.items()}
 
 

@@ -22,6 +22,7 @@ CODES = {name: k + 1 for k, name in enumerate(GEOMETRY_TYPES)}
 DEPTH = {"Point": 1, "LineString": 1, "Polygon": 2, "MultiPoint": 1, "MultiLineString": 2, "MultiPolygon": 3}
 HEAD = re.compile(r"\ASRID=([0-9]+);\s*([A-Za-z]+?)\s*(ZM|Z|M)?\s*(EMPTY|\(.*\))\s*\Z", re.IGNORECASE | re.DOTALL)
 TOKEN = re.compile(r"[(),]|[^\s(),]+")
+POINT = re.compile(r"\ASRID=([0-9]+);\s*POINT\s*(ZM|Z|M)?\s*\(([^(),]+)\)\s*\Z", re.IGNORECASE)
 Z_FLAG, M_FLAG, SRID_FLAG = 0x80000000, 0x40000000, 0x20000000
 
 
@@ -77,24 +78,35 @@ def points(x) -> Iterator[tuple[float, ...]]:
 
 def parse(text: str) -> dict:
     """srid, gtype, zm and coordinates of EWKT with an explicit SRID."""
+    if point := POINT.match(text):  # most geometries are points, which need no nesting
+        try:
+            every = [tuple(map(float, point[3].split()))]
+        except ValueError:
+            raise GeometryError("not a number") from None
+        return _typed(point[1], "Point", point[2], every, every)
     match = HEAD.match(text)
     kind = next((g for g in GEOMETRY_TYPES if match and g.upper() == match[2].upper()), None)
     if kind is None:
         raise GeometryError("not EWKT")
-    flags = (match[3] or "").upper()
     coordinates = [] if match[4].upper() == "EMPTY" else _nested(match[4])
     if kind == "MultiPoint":  # both ((1 2), (3 4)) and (1 2, 3 4)
         coordinates = [p[0] if isinstance(p, list) and p else p for p in coordinates]
     every = list(points(coordinates))
-    sizes = {len(p) for p in every}
-    if len(sizes) > 1 or (coordinates and _depth(coordinates) != DEPTH[kind] and every):
+    if coordinates and every and _depth(coordinates) != DEPTH[kind]:
+        raise GeometryError("misplaced coordinates")
+    return _typed(match[1], kind, match[3], coordinates, every)
+
+
+def _typed(srid: str, kind: str, named: str | None, coordinates: list, every: list[tuple]) -> dict:
+    flags, sizes = (named or "").upper(), {len(p) for p in every}
+    if len(sizes) > 1 or (kind == "Point" and len(every) > 1):
         raise GeometryError("mixed or misplaced coordinates")
     size = sizes.pop() if sizes else 2 + len(flags)
     if not flags:
         flags = {2: "", 3: "Z", 4: "ZM"}.get(size, "?")
-    if size != 2 + len(flags) or (kind == "Point" and len(every) > 1):
+    if size != 2 + len(flags):
         raise GeometryError("wrong number of ordinates")
-    return {"srid": int(match[1]), "gtype": kind, "zm": DIMENSIONS["XY" + flags], "coordinates": coordinates, "points": every}
+    return {"srid": int(srid), "gtype": kind, "zm": DIMENSIONS["XY" + flags], "coordinates": coordinates, "points": every}
 
 
 def ewkb(g: dict, big: bool = False) -> bytes:
