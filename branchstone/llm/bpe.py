@@ -18,6 +18,8 @@ from .pretokens import chunks, split
 from .textscan import pieces
 
 LONG = 1 << 21  # bytes of a text that is encoded part by part
+SHORT = 48  # bytes of a word that is merged by scanning
+NONE = (1 << 60, -1)
 MOST_WORDS = 400_000  # that a worker remembers; then it begins anew
 
 
@@ -53,8 +55,11 @@ class Codec:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         apart = set(special.values())
         self.ids = {t: i for i, t in enumerate(tokens) if t and i not in apart}
+        self.single = [self.ids[bytes((b,))] for b in range(256)]
         self.rank = {(a, b): (r, c) for r, (a, b, c) in reversed(list(enumerate(merges)))}
-        self.longest = max(map(len, self.ids))
+        self.reach: dict[bytes, int] = {}
+        for t in self.ids:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.compatible: dict[int, bool] = {}  # pair code -> whether the two tokens stay as they are side by side
         self.size = np.array([len(t) for t in tokens], np.int64)
         self.at = np.cumsum(self.size) - self.size
@@ -74,10 +79,10 @@ class Codec:
         self.offset = np.cumsum(self.sizes) - self.sizes
 
     def greedy(self, word: bytes) -> list[int]:
-        """The longest token at each place."""
-        ids, out, at, n = self.ids, [], 0, len(word)
+        """The longest token at each place; tokens that begin with the same two bytes bound its length."""
+        ids, reach, out, at, n = self.ids, self.reach, [], 0, len(word)
         while at < n:
-            end = min(n, at + self.longest)
+            end = min(n, at + reach.get(word[at : at + 2], 1))
             while (found := ids.get(word[at:end])) is None:
                 end -= 1
             out.append(found)
@@ -86,7 +91,23 @@ class Codec:
 
     def exact(self, word: bytes) -> list[int]:
         """Merges the pair of the lowest rank, the leftmost first, until none is left."""
-        part = [self.ids[word[k : k + 1]] for k in range(len(word))]
+        part = [self.single[b] for b in word]
+        if len(part) > SHORT:
+            return self._exact_long(part)
+        rank, none = self.rank.get, NONE
+        ranks = [rank(pair, none)[0] for pair in zip(part, part[1:], strict=False)]
+        while ranks and (low := min(ranks)) < none[0]:
+            k = ranks.index(low)
+            part[k : k + 2] = [rank((part[k], part[k + 1]))[1]]
+            del ranks[k]
+            if k < len(ranks):
+                ranks[k] = rank((part[k], part[k + 1]), none)[0]
+            if k:
+                ranks[k - 1] = rank((part[k - 1], part[k]), none)[0]
+        return part
+
+    def _exact_long(self, part: list[int]) -> list[int]:
+        """The same with a heap of pairs, for words where looking for the lowest again and again would be slow."""
         after, before = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         heap = [(r[0], k, a, b) for k, (a, b) in enumerate(zip(part, part[1:], strict=False)) if (r := self.rank.get((a, b)))]
         heapify(heap)
