@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from branchstone.llm.bpe import bpe_encode
 from branchstone.llm.common import written
 from branchstone.llm.exact_dedup import drop_ids, exact_dedup
-from branchstone.llm.mixing import mix
+from branchstone.llm.mixing import mix, word_count
 from branchstone.llm.quality_rules import quality_rules
 from branchstone.llm.queries import vocabulary_path
 from branchstone.llm.simhash import simhash_components
@@ -44,9 +44,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, to the nearest whole time: 0 to 3.
 
-    The mix takes a source's words in one order, so at most one document of a source is taken in part."""
-    times = mix(docs).groupBy("doc_id").agg(F.rint(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__times"))
-    taken = docs.join(times.where("__times > 0"), "doc_id")
+    The mix takes a source's words in one order, so at most one document of a source is taken in part. Rows that share
+    an id, or have none, are told apart by source and number of words; those equal in these each come as often as they
+    are taken on average."""
+    sums = mix(docs).groupBy("doc_id", "source", "size").agg(F.rint(F.sum("taken") / F.greatest(F.first("size") * F.count("*"), F.lit(1))).cast("int").alias("__times"))
+    times = sums.where("__times > 0").toDF("__id", "__source", "__size", "__times")
+    same = docs["doc_id"].eqNullSafe(times["__id"]) & docs["source"].cast("string").eqNullSafe(times["__source"])
+    taken = docs.join(times, same & (word_count(docs["text"]) == times["__size"]))
     return _like(taken.withColumn("__time", F.explode(F.array_repeat(F.lit(0), F.col("__times")))), docs)
 
 

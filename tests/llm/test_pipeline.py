@@ -90,6 +90,15 @@ def test_ids_that_repeat(spark):
         assert max(by.values(), default=0) <= 6
 
 
+def test_rows_without_id_are_mixed(spark):
+    rows = [(k, "five words in this text", "en", draw, None, None) for k, draw in enumerate("abc" * 40)]
+    rows += [(None, " ".join(["word"] * (10 + k)), "en", "abc"[k % 3], None, None) for k in range(30)]
+    times = {(i, s, n): round(t / n) for i, s, n, t in brute_taken([(r[0], r[1], r[3]) for r in rows])}
+    want = Counter(r for r in rows for _ in range(times[r[0], r[3], len(r[1].split())]))
+    assert {want[r] for r in rows if r[0] is None} > {0, 1}
+    assert Counter(map(tuple, corpus_pipeline.mixed(spark, spark.createDataFrame(rows, SCHEMA), "").collect())) == want
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for _, stage in corpus_pipeline.STAGES:
