@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -87,13 +87,15 @@ def with_bigrams(units: DataFrame) -> DataFrame:
     return words.select(*others, pairs.alias("grams")).withColumn("size", F.size(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))))
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8, windows: bool = False) -> DataFrame:
     """(id, license, n_lines, overlap, sizes) for every row of df and licence that one of its units resembles.
 
     Units are the whole text (line 0) and each of its lines (from 1). Dice of bigram sets A and B is 2|A n B| / (|A|+|B|);
     it can reach the threshold t only if |A| is between t/(2-t) and (2-t)/t times |B|, so units outside all templates'
     bounds end there and others meet only the templates within theirs; texts without any of needed_words go before. n_lines: lines at or above the threshold; overlap
     and sizes (of both sets added) are those of the best unit and template, so that its Dice is 2 * overlap / sizes.
+    windows: the windows of license_windows are units too, of no line, so that a notice within a longer line and a grant
+    over several lines have their row.
     Rows with null or empty texts, or without a match, have no row. Repeated rows give one, as do rows that share an id;
     rows with a null id are one. Other columns are ignored; an empty table gives an empty result."""
     table, sizes = template_table(df.sparkSession, templates)
@@ -112,11 +114,39 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = met.groupBy("id", "line", "template", "license", "size", "template_size").agg(F.count_distinct("bigram").alias("overlap"))
     sums = F.col("size") + F.col("template_size")
     scored = scored.where(2 * F.col("overlap") >= F.lit(threshold) * sums - 1e-9).withColumn("sizes", sums.cast("long"))
+    if windows:
+        scored = scored.select("id", "line", "license", "overlap", "sizes").unionByName(license_windows(df, id_col, text_col, table, max(sizes), threshold))
     best = F.max(F.struct((2 * F.col("overlap") / F.col("sizes")).alias("dice"), "overlap", "sizes")).alias("best")
     out = scored.groupBy("id", "license").agg(F.count_distinct(F.when(F.col("line") > 0, F.col("line"))).alias("n_lines"), best)
     return out.select(F.col("id").alias(id_col), "license", "n_lines", F.col("best.overlap").alias("overlap"), F.col("best.sizes").alias("sizes"))
 
 
+def license_windows(df: DataFrame, id_col: str, text_col: str, table: DataFrame, largest: int, threshold: float) -> DataFrame:
+    """(id, line 0, license, overlap, sizes) of windows of consecutive words that reach the threshold with a template.
+
+    A window of a template begins and ends with one of its bigrams, as others at the ends only lower the Dice, and has
+    (2-t)/t times the template's bigrams at most, repeats counted. It needs t/(2-t) of them, so only places followed by so
+    many within that length are looked at; of each the best window is given."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    df = written(df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("unit")), "windowed")
+    units = written(with_bigrams(df).drop("size"), "bigrams")
+    grams = units.select("row", F.posexplode("grams").alias("pos", "bigram"))
+    hits = grams.join(F.broadcast(table), "bigram").withColumn("span", F.floor(F.col("template_size") * high + 1e-9).cast("int")).withColumn("hash", F.xxhash64("bigram"))
+    # a frame has one length, that of the largest template; what is beyond the template's own goes
+    ahead = Window.partitionBy("row", "template").orderBy("pos").rangeBetween(0, int(largest * high + 1e-9) - 1)
+    hits = hits.withColumn("ahead", F.collect_list(F.struct("pos", "hash")).over(ahead))
+    hits = hits.withColumn("ahead", F.expr("filter(ahead, x -> x.pos < pos + span)")).where(F.size("ahead") >= F.col("template_size") * low - 1e-9)
+    found = hits.join(units, "row").withColumn("near", F.expr("transform(slice(grams, pos + 1, span), g -> xxhash64(g))"))
+    scores = """transform(filter(ahead, x -> x.pos - pos + 1 >= least), x -> named_struct(
+        'overlap', size(array_distinct(transform(filter(ahead, y -> y.pos <= x.pos), y -> y.hash))),
+        'sizes', size(array_distinct(slice(near, 1, x.pos - pos + 1))) + template_size))"""
+    found = found.withColumn("least", F.ceil(F.col("template_size") * low - 1e-9)).withColumn("scores", F.expr(scores))
+    best = F.expr("array_max(transform(scores, s -> struct(2 * s.overlap / s.sizes as dice, s.overlap as overlap, s.sizes as sizes)))")
+    found = found.select("id", F.lit(0).alias("line"), "license", best.alias("best"))
+    found = found.where(2 * F.col("best.overlap") >= F.lit(threshold) * F.col("best.sizes") - 1e-9)
+    return found.select("id", "line", "license", F.col("best.overlap").cast("long").alias("overlap"), F.col("best.sizes").cast("long").alias("sizes"))
+
+
 def license_sql(templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> str:
     """The scan of `documents` in DuckDB's SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"

@@ -99,7 +99,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_table(spark, sf_dir, "documents"))
+    return license_scan(_table(spark, sf_dir, "documents"), windows=True)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

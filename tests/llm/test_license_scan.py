@@ -1,8 +1,9 @@
 import random
+import textwrap
 
 import pytest
 
-from branchstone.llm.license_scan import TEMPLATES, bigrams_of, license_scan
+from branchstone.llm.license_scan import TEMPLATES, bigrams_of, license_scan, words_of
 
 
 def brute(rows, threshold):
@@ -44,5 +45,48 @@ def test_matches_brute_force(spark, threshold):
     assert len(want) > 60
 
 
+AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+
+
+def best_window(text, template, threshold):
+    words, other = words_of(text), bigrams_of(template)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    most, found = int(len(other) * (2 - threshold) / threshold + 1e-9), [(0, 0, 0)]
+    for a in range(len(grams)):
+        for b in range(a + 1, min(a + most, len(grams)) + 1):
+            own = set(grams[a:b])
+            found.append((2 * len(own & other) / (len(own) + len(other)), len(own & other), len(own) + len(other)))
+    return max(found)
+
+
+def test_windows(spark):
+    draw = random.Random(3)
+    wrap = lambda t, n=78: textwrap.fill(t, n)
+    mit, gpl, bsd = TEMPLATES["MIT"][1], TEMPLATES["GPL-3.0"][1], TEMPLATES["BSD"][0]
+    rows = [
+        (0, "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + wrap(mit) + "\n\n" + wrap("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.") + "\n\n" + wrap(AS_IS)),
+        (1, "Copyright 2020 Jane Doe. Released under the MIT License. All rights reserved."),
+        (2, "# a header\n" + "\n".join("# " + x for x in wrap(gpl).split("\n")) + "\n" + "".join(f"x{k} = {k}\n" for k in range(300))),
+        (3, wrap("Redistribution of nothing. " + bsd + " And more words after it, many of them.", 40)),
+        (4, "the mit license is a licence, as the software is free of charge and any person is permitted " * 20),
+    ]
+    for k in range(5, 25):
+        words = ("filler words and more " * 4 + draw.choice([mit, gpl, bsd, *TEMPLATES["CC-BY-4.0"]]) + " of the software under the terms " * 3).split()
+        for _ in range(draw.randint(0, 8)):
+            words[draw.randrange(len(words))] = draw.choice(["the", "of", "x"])
+        rows.append((k, wrap(" ".join(words), 50)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.overlap, r.sizes) for r in license_scan(df, windows=True).collect()}
+    want = {}
+    for i, text in rows:
+        for name, texts in TEMPLATES.items():
+            best = max(best_window(text, t, 0.8) for t in texts)
+            if best[0] >= 0.8 - 1e-9:
+                want[i, name] = best[1:]
+    assert got == want
+    assert not {r.doc_id for r in license_scan(df).collect()} & {0, 1, 2, 3}  # neither lines nor whole texts have them
+    assert {(0, "MIT"), (1, "MIT"), (2, "GPL-3.0"), (3, "BSD")} <= set(got) and not any(i == 4 for i, _ in got)
+
+
 def test_empty(spark):
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
