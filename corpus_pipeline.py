@@ -26,7 +26,10 @@ def _all(wanted: str, verdicts: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go.
+
+    An id goes only if all rows with it are rejected: where ids repeat, rejected texts stay beside one that passes. All
+    null ids are one."""
     return drop_ids(docs, "doc_id", _all("kept", quality_rules(docs).select("doc_id", "kept")))
 
 
@@ -37,7 +40,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates that with the smallest id stays."""
+    """Of near duplicates that with the smallest id stays.
+
+    An id goes only if no row with it is the smallest of its component: where ids repeat, near copies can stay. All null
+    ids are one."""
     return drop_ids(docs, "doc_id", _all("component_id <=> doc_id", simhash_components(docs)))
 
 
