@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .textscan import LOWER, Scan, mixed, pieces
+from .textscan import PART, SPACES, Scan, digest_hash, mixed, parts, pieces
 
 # Frequent words of each language.
 COMMON_WORDS = {
@@ -57,25 +57,33 @@ def vocabulary(common: dict[str, list[str]]) -> list[str]:
     return sorted({w for words in common.values() for w in words})
 
 
+def twice(windows: np.ndarray) -> np.ndarray:
+    """The places of values that come twice or more."""
+    order = np.argsort(windows)
+    equal = windows[order][1:] == windows[order][:-1]
+    return order[np.r_[equal, False] | np.r_[False, equal]] if len(order) else order
+
+
+def lines_of(scan: Scan) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the lines that have a word."""
+    ends = np.flatnonzero(scan.raw == 10)
+    starts = np.r_[0, ends[:-1] + 1]
+    filled = np.r_[0, np.cumsum(~scan.space)]
+    some = filled[ends] > filled[starts]
+    return starts[some], ends[some]
+
+
 def base_counts(scan: Scan) -> dict[str, np.ndarray]:
     """The base counts of each text of a scan."""
     character = (scan.raw & 0xC0) != 0x80
     h, doc = scan.hashes(scan.word_start, scan.word_end), scan.word_doc
     repeat = np.zeros(len(h), bool)
     if len(h) > 2:
-        same = doc[2:] == doc[:-2]
-        at = np.flatnonzero(same)
-        window = mixed(mixed(mixed(h[at] + doc[at].astype(np.uint64)) + h[at + 1]) + h[at + 2])
-        order = np.argsort(window)
-        equal = window[order][1:] == window[order][:-1]
-        twice = at[order[np.r_[equal, False] | np.r_[False, equal]]] if len(at) else at
+        at = np.flatnonzero(doc[2:] == doc[:-2])
+        found = at[twice(mixed(mixed(mixed(h[at] + doc[at].astype(np.uint64)) + h[at + 1]) + h[at + 2]))]
         for k in range(3):
-            repeat[twice + k] = True
-    ends = np.flatnonzero(scan.raw == 10)
-    starts = np.r_[0, ends[:-1] + 1]
-    filled = np.r_[0, np.cumsum(~scan.space)]
-    some = filled[ends] > filled[starts]
-    starts, ends = starts[some], ends[some]
+            repeat[found + k] = True
+    starts, ends = lines_of(scan)
     line_doc = np.searchsorted(scan.starts, starts, "right") - 1
     line = mixed(scan.hashes(starts, ends) + line_doc.astype(np.uint64))
     order = np.argsort(line, kind="stable")
@@ -89,6 +97,66 @@ def base_counts(scan: Scan) -> dict[str, np.ndarray]:
     }
 
 
+def repeated_words(h: np.ndarray, most: int = 1 << 21) -> int:
+    """How many words of one text, given by their hashes, are in windows of three that come twice; windows are sorted by
+    ranges of their hashes, about `most` at a time."""
+    if len(h) < 3:
+        return 0
+    windows, repeat = np.empty(len(h) - 2, np.uint64), np.zeros(len(h), bool)
+    for k in range(0, len(windows), most):
+        a, b, c = (h[k + j : min(k + most, len(windows)) + j] for j in range(3))
+        windows[k : k + most] = mixed(mixed(mixed(a) + b) + c)
+    bits = max(0, (len(windows) // most).bit_length())
+    for p in range(1 << bits):
+        at = np.flatnonzero(windows >> np.uint64(64 - bits) == p) if bits else np.arange(len(windows))
+        found = at[twice(windows[at])]
+        for k in range(3):
+            repeat[found + k] = True
+    return int(repeat.sum())
+
+
+def long_features(text: bytes, words: list[str]) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Base counts and histograms of one text of PART bytes or more, part by part: of the whole text only 8 bytes a word
+    and a line are held."""
+    sums = dict.fromkeys(("n_words", "word_chars", "n_symbols"), 0)
+    classes, common = np.zeros((1, len(CLASSES)), np.int64), np.zeros((1, len(words) + 1), np.int64)
+    hashes, view = [], memoryview(text)
+    for a, b, whole in parts(text, SPACES):
+        if whole:  # one word
+            hashes.append(np.array([digest_hash(view[a:b])], np.uint64))
+            for k in range(a, b, PART):
+                raw = np.frombuffer(view[k : min(k + PART, b)], np.uint8)
+                sums["word_chars"] += int(((raw & 0xC0) != 0x80).sum())
+                sums["n_symbols"] += int(_flags(SYMBOLS)[raw].sum())
+                classes += np.bincount(_class_table()[raw], minlength=len(CLASSES) + 1)[:-1]
+            sums["n_words"] += 1
+            common[0, -1] += 1
+            continue
+        scan = Scan([text[a:b]])
+        hashes.append(scan.hashes(scan.word_start, scan.word_end))
+        sums["n_words"] += int(scan.n_words[0])
+        sums["word_chars"] += int((((scan.raw & 0xC0) != 0x80) & ~scan.space).sum())
+        sums["n_symbols"] += int(_flags(SYMBOLS)[scan.raw].sum())
+        both = histograms(scan, Scan([text[a:b]], lower=True), words)
+        classes, common = classes + both[0], common + both[1]
+    h = np.concatenate(hashes)
+    del hashes
+    sums["n_repeat_words"] = repeated_words(h)
+    del h
+    lines, breaks = [], _flags(b"\n")
+    for a, b, whole in parts(text, breaks):
+        if whole:
+            if any(not SPACES[np.frombuffer(view[k : min(k + PART, b)], np.uint8)].all() for k in range(a, b, PART)):
+                lines.append(np.array([digest_hash(view[a:b])], np.uint64))
+        else:
+            scan = Scan([text[a:b]])
+            lines.append(scan.hashes(*lines_of(scan)))
+    every = np.concatenate(lines) if lines else np.empty(0, np.uint64)
+    sums["n_dup_lines"] = len(every) - len(np.unique(every))
+    base = {k: np.array([sums[k]]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
+    return base, (classes, common)
+
+
 def histograms(scan: Scan, low: Scan, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of character classes and of common words (the last column: all other words), a row for each text."""
     n = len(CLASSES) + 1
@@ -112,9 +180,11 @@ def _features(common: dict[str, list[str]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in pieces(batch, 2):
-                scan = Scan(texts)
-                base = base_counts(scan)
-                both = histograms(scan, Scan(texts, lower=True), words)
+                if len(texts[0]) >= PART:  # alone in its run
+                    base, both = long_features(texts[0], words)
+                else:
+                    scan = Scan(texts)
+                    base, both = base_counts(scan), histograms(scan, Scan(texts, lower=True), words)
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(np.int32)), x.shape[1]).cast(pa.list_(pa.int32())) for x in both]
                 lang = pa.array([x if x in common else OTHER for x in batch.column(1).slice(a, b - a).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lang, *(pa.array(v.astype(np.int64)) for v in base.values()), *lists], names=["id", "lang", *base, "classes", "common"])
@@ -204,7 +274,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `common`, or none, is measured against the mean of all texts. A text is kept if it passes the base rules and neither
     distance is above its limit (a, b): a + b / sqrt(n) for n characters or words, as short texts stray by chance. A distance is null, and no
     ground for rejection, for a text below its guard and where the reference has fewer than least_reference texts.
-    Null and empty texts have no words and fail the base rules. Repeated rows each get their row; other columns are
+    Null and empty texts have no words and fail the base rules. Long texts are scanned part by part. Repeated rows each get their row; other columns are
     ignored; an empty table gives an empty result. What is collected is two histograms for each entry of `common`."""
     rows = df.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"))
     kind = dict(rows.dtypes)["id"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,37 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
         yield at, at + len(texts), texts
 
 
+PART = 1 << 20  # a text of so many bytes is scanned part by part
+
+
+def parts(text: bytes, ends: np.ndarray, most: int = PART) -> Iterator[tuple[int, int, bool]]:
+    """(from, to, whole) of runs of less than `most` bytes that each end after one of the bytes of the table `ends`.
+
+    An item between two such bytes that has `most` bytes or more is a run of its own: whole is true for it, wherever it
+    stands. So the same item is always scanned in the same way."""
+    view, at = np.frombuffer(text, np.uint8), 0
+    while at < len(view):
+        if len(view) - at < most:
+            yield at, len(view), False
+            return
+        inside = np.flatnonzero(ends[view[at : at + most]])
+        if len(inside):
+            stop = at + int(inside[-1]) + 1
+            yield at, stop, False
+        else:
+            stop = at + most
+            while stop < len(view) and not len(found := np.flatnonzero(ends[view[stop : stop + most]])):
+                stop += most
+            stop = min(stop + int(found[0]), len(view)) if stop < len(view) else len(view)
+            yield at, stop, True
+        at = stop
+
+
+def digest_hash(item: bytes | memoryview) -> int:
+    """The 64-bit hash of an item of PART bytes or more."""
+    return int.from_bytes(hashlib.blake2b(item, digest_size=8).digest(), "little")
+
+
 class Scan:
     """Texts in one buffer, each ended by a line feed, with the places of their words and hashes of any span."""
 

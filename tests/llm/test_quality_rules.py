@@ -106,3 +106,35 @@ def test_empty(spark):
 
 def test_distance():
     assert distances(np.array([[1, 0], [1, 1], [0, 5]]), np.array([7, 0])).round(6).tolist() == [0, round(brute_distance([1, 1], [1, 0]), 6), 1]
+
+
+def test_long_texts(spark):
+    """Texts that are scanned part by part, with words, lines and windows that recur in other parts, and items longer than a part."""
+    draw = random.Random(4)
+    words = [f"w{k}" * 9 for k in range(3000)] + ["the", "The,", "é%", "漢字|"]
+    line = " ".join(draw.choices(words, k=40)) + "\n"
+    text = "".join(draw.choice([line, " ".join(draw.choices(words, k=draw.randint(0, 50))) + draw.choice(["\n", " \t", "\n \n"])]) for _ in range(1300))
+    giant = "é#" * 350_000
+    rows = [(1, text, "en"), (2, text + giant + " a b c\n" + giant + " a b c\n" + giant, "en"), (3, "x" * (1 << 20), "de"), (4, giant, None), (5, " " * (3 << 20) + "\n", "fr"), (6, (line[:-1] + " ") * 400 + "\n" + (line[:-1] + " ") * 400, "en"), (7, "a b\n" * 400_000, "en")]
+    assert all(len(r[1].encode()) >= 1 << 20 for r in rows)
+    got = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(brute(rows))
+
+
+def test_memory_of_a_long_text():
+    """10 MB, with and without spaces, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from branchstone.llm.quality_rules import COMMON_WORDS, long_features, vocabulary
+words = vocabulary(COMMON_WORDS)
+text = b"some words " * 1_000_000 if sys.argv[1] == "words" else b"x" * 10_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+long_features(text, words)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    for kind in ("words", "none"):
+        said = subprocess.run([sys.executable, "-c", code, kind], capture_output=True, text=True, check=True)
+        assert int(said.stdout.split()[-1]) < 300
