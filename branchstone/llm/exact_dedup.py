@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, join_groups, without, written
@@ -13,6 +14,14 @@ BUCKET_BITS = 15  # of Spark's bitmap functions: 32768 bits, 4 KB
 OWN = ("keep_id", "group_size", "kept", "text_sha256")
 
 
+def broadcast_bits(spark: SparkSession, share: int = 64, least: int = 28, most: int = 34) -> int:
+    """log2 of the bits that a broadcast filter may have: a share-th of an executor's heap as it is configured, 32 MB at
+    least and 2 GB at most. So the filter grows with the executors, never with the data beyond them."""
+    size = re.fullmatch(r"(\d+)([kmgt]?)b?", (spark.sparkContext.getConf().get("spark.executor.memory", "1g") or "1g").lower())
+    heap = int(size[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[size[2]] if size else 1 << 30
+    return min(most, max(least, (8 * heap // share).bit_length() - 1))
+
+
 def filter_bits(rows: int, bits_per_row: int = 16, most: int = 28) -> int:
     """log2 of the filter's bits: bits_per_row for each row, 2**most at most (32 MB for 28)."""
     return max(BUCKET_BITS, min(most, (max(rows, 1) * bits_per_row - 1).bit_length()))
@@ -54,34 +63,38 @@ def flag_repeats(rows: DataFrame, h: str, found: DataFrame, bits: int, flag: str
     return rows.withColumn(flag, F.col("__f0") & F.col("__f1")).drop("__f0", "__f1")
 
 
-def drop_ids(df: DataFrame, id_col: str, dropped: DataFrame, most_filter_bits: int = 28) -> DataFrame:
+def drop_ids(df: DataFrame, id_col: str, dropped: DataFrame, most_filter_bits: int | None = None) -> DataFrame:
     """df without the rows whose id is in `dropped` (one column, id_col).
 
     A Bloom filter of the dropped ids is broadcast, of bounded size; only rows that it names are shuffled and compared,
-    the others never move. A null id can be dropped like any other."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00"))
-    dropped = written(dropped.select(key.alias("__key")).distinct(), "dropped")
-    bits = filter_bits(dropped.count(), most=most_filter_bits)
-    cells = dropped.select(F.explode(F.array(*_places(F.xxhash64("__key"), bits))).alias("cell"))
+    the others never move. A null id can be dropped like any other. Rows travel as one struct, so that no name of theirs
+    clashes."""
+    named = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    dropped = written(dropped.select(named(F.col(id_col)).alias("key")).distinct(), "dropped")
+    bits = filter_bits(dropped.count(), most=most_filter_bits or broadcast_bits(df.sparkSession))
+    cells = dropped.select(F.explode(F.array(*_places(F.xxhash64("key"), bits))).alias("cell"))
     found = written(_bitmaps(cells), "dropped-cells")
-    flagged = flag_repeats(df.withColumn("__key", key).withColumn("__h", F.xxhash64("__key")), "__h", found, bits, "__hit")
-    rest = flagged.where("__hit").join(dropped, "__key", "left_anti")
-    return flagged.where("not __hit").unionByName(rest).select(*[f"`{c}`" for c in df.columns])
+    rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), named(F.col(f"`{id_col}`")).alias("key"))
+    flagged = flag_repeats(rows.withColumn("h", F.xxhash64("key")), "h", found, bits, "hit")
+    rest = flagged.where("hit").join(dropped, "key", "left_anti")
+    return flagged.where("not hit").select("row.*").unionByName(rest.select("row.*"))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, most_filter_bits: int = 28) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] | None = None, most_filter_bits: int | None = None) -> DataFrame:
     """Every row of df with keep_id, group_size, kept and text_sha256 (of the text with A-Z lower-cased).
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest id stays. carry: the
     columns to return besides (default: all). Null texts count as empty and so do they among themselves. Rows that share
     both id and text are all kept if their id is the largest. A null id is smaller than any other; a group of null ids
     alone has a null keep_id and all its rows are kept. Columns of df with the names of the new ones are replaced.
-    An empty table gives an empty result. Ends with a shuffle of possibly repeated rows only: the others never move."""
+    An empty table gives an empty result. Ends with a shuffle of possibly repeated rows only: the others never move. The
+    filter has 16 bits a row up to most_filter_bits (default: broadcast_bits); with more rows it names more that are alone,
+    which are shuffled with the others and change nothing."""
     carry = [c for c in df.columns if c.lower() not in OWN] if carry is None else list(carry)
     df = without(df, OWN)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.count()
-    bits = filter_bits(rows, most=most_filter_bits)
+    bits = filter_bits(rows, most=most_filter_bits or broadcast_bits(df.sparkSession))
     # texts that are equal after lower-casing A-Z are equal after lower-casing all: the cheaper function never parts them
     found = written(repeated_filter(df.select(F.xxhash64(F.lower(text)).alias("__h")), "__h", bits), "repeated-cells")
     probed = df.withColumn("__h", F.xxhash64(F.lower(text))).withColumn("text_sha256", F.sha2(ascii_lower(text).cast("binary"), 256))
