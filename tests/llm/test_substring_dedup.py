@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from branchstone.llm import common
 from branchstone.llm.substring_dedup import substring_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -63,3 +64,43 @@ def test_matches_brute_force(spark, seed, options):
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert substring_dedup(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()[0][:3] == (1, 2, 0)
+
+
+def test_long_texts(spark):
+    """Texts that are taken in parts: passages over the parts' borders, in short texts, and around a word longer than a part."""
+    draw = random.Random(9)
+    word = lambda k: f"{k:x}é" * 30
+    some = lambda n: [word(draw.randrange(1 << 40)) for _ in range(n)]
+    passage, giant = some(400), "g" * (1 << 20) + "é"
+    around = some(30) + [giant] + some(30)
+    rows = [
+        (1, some(60) + passage[:80] + some(3000) + around + some(2000)),
+        (2, some(20) + passage[70:300] + some(10)),
+        (3, some(2500) + passage + some(2500) + passage[100:160] + some(900)),
+        (4, around[5:] + some(5)),
+        (5, passage[60:120]),
+        (6, some(5200)),
+        (None, passage + some(4000)),
+    ]
+    rows += [(7, rows[2][1]), (8, rows[5][1][2000:2049])]
+    data = [(i, draw.choice([" ", "\n"]).join(w)) for i, w in rows]
+    assert sum(len(t.encode()) > 1 << 20 for _, t in data) >= 5
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    for shard_bytes in (1 << 20, 100_000):
+        got = substring_dedup(df, shard_bytes=shard_bytes).collect()
+        assert sorted((tuple(r)[:4] for r in got), key=repr) == brute(data, 50)
+    for r in got:
+        assert r.kept_text is None or hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256
+
+
+def test_hot_windows_and_no_ids(spark, monkeypatch):
+    """One window in a third of all documents, and documents without ids, which go nowhere."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    draw = random.Random(3)
+    hot = " ".join(f"h{k}" for k in range(55))
+    rows = [(k, f"a{k} b{k} " + (hot if k % 3 == 0 else " ".join(f"x{draw.randrange(50)}" for _ in range(70)))) for k in range(300)]
+    rows += [(None, hot)] * 50
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), shard_bytes=2000).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=repr) == brute(rows, 50)
+    nameless = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(nameless).collect()} == {0}
