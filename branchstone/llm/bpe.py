@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -14,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import chunks, split
+from .pretokens import pretokens, split
 from .textscan import pieces
 
-LONG = 1 << 21  # bytes of a text that is encoded part by part
+LONG = 1 << 20  # bytes of a text that is encoded part by part
+BLOCK = 1 << 12  # bytes of a word that is encoded block by block
 SHORT = 48  # bytes of a word that is merged by scanning
 NONE = (1 << 60, -1)
 MOST_WORDS = 400_000  # that a worker remembers; then it begins anew
+MOST_HELD = 32 << 20  # characters of these words; likewise
+MOST_PAIRS = 2_000_000  # likewise
 
 
 def byte_characters() -> dict[str, int]:
@@ -69,10 +73,12 @@ class Codec:
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}
+        self.held = 0
         self.flat, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
         self._add(list(self.special), [[i] for i in self.special.values()])
 
     def _add(self, words: list[str], ids: list[list[int]]) -> None:
+        self.held += sum(map(len, words))
         self.words.update(zip(words, range(len(self.words), len(self.words) + len(words)), strict=True))
         self.sizes = np.r_[self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))]
         self.flat = np.r_[self.flat, np.array([i for x in ids for i in x], np.int64)]
@@ -91,6 +97,11 @@ class Codec:
 
     def exact(self, word: bytes) -> list[int]:
         """Merges the pair of the lowest rank, the leftmost first, until none is left."""
+        if len(word) > BLOCK:
+            return [i for block in self.blocks(word) for i in block]
+        return self._merged(word)
+
+    def _merged(self, word: bytes) -> list[int]:
         part = [self.single[b] for b in word]
         if len(part) > SHORT:
             return self._exact_long(part)
@@ -126,22 +137,60 @@ class Codec:
                 heappush(heap, (r[0], before[k], part[before[k]], part[k]))
         return [x for x in part if x >= 0]
 
+    def _proposed(self, block: bytes) -> list[int]:
+        """The encoding of a few bytes by themselves: greedy if that holds, exact if not."""
+        out = self.greedy(block)
+        good = all(map(self._stays, out)) and all(self._pair(a << 32 | b) for a, b in zip(out, out[1:], strict=False))
+        return out if good else self._merged(block)
+
+    def blocks(self, word: bytes) -> Iterator[list[int]]:
+        """The ids of a long word, some at a time: blocks are encoded by themselves and joined where that changes nothing.
+
+        Two encodings side by side are that of both if the tokens that meet are compatible. If they are not, tokens on
+        both sides are encoded anew, more and more of them, until those that meet are. Little more than a block is held."""
+        held: list[int] = []
+        gone = False
+        for at in range(0, len(word), BLOCK):
+            new = self._proposed(word[at : at + BLOCK])
+            back = ahead = 0
+            left = right = not held or self._pair(held[-1] << 32 | new[0])
+            middle: list[int] = []
+            while not (left and right):
+                back, ahead = (back if left and back else 2 * back + 4), (ahead if right and ahead else 2 * ahead + 4)
+                low, high = max(0, len(held) - back), min(len(new), ahead)
+                if not low and gone:
+                    raise RuntimeError("a pair of tokens far back is not settled")
+                middle = self._merged(b"".join(self.tokens[i] for i in [*held[low:], *new[:high]]))
+                left = not low or self._pair(held[low - 1] << 32 | middle[0])
+                right = high == len(new) or self._pair(middle[-1] << 32 | new[high])
+            if middle:
+                held, new = held[:low], [*middle, *new[high:]]
+            held += new
+            if len(held) > 4 * BLOCK:
+                yield held[:-BLOCK]
+                held, gone = held[-BLOCK:], True
+        if held:
+            yield held
+
     def _pair(self, code: int) -> bool:
         if (known := self.compatible.get(code)) is None:
             a, b = code >> 32, code & 0xFFFFFFFF
-            known = self.compatible[code] = self.exact(self.tokens[a] + self.tokens[b]) == [a, b]
+            if len(self.compatible) > MOST_PAIRS:
+                self.compatible.clear()
+            known = self.compatible[code] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
     def _stays(self, i: int) -> bool:
         if (known := self.compatible.get(~i)) is None:
-            known = self.compatible[~i] = self.exact(self.tokens[i]) == [i]
+            known = self.compatible[~i] = self._merged(self.tokens[i]) == [i]
         return known
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Proposes tokens greedily, checks every adjacent pair, and merges exactly only the words that fail.
 
-        Tokens are the BPE encoding of their bytes if and only if each is its own encoding and each adjacent pair is."""
-        out = [self.greedy(w) for w in words]
+        Tokens are the BPE encoding of their bytes if and only if each is its own encoding and each adjacent pair is.
+        Words of more than BLOCK bytes go by blocks."""
+        out = [self.greedy(w) if len(w) <= BLOCK else self.exact(w) for w in words]
         size = np.fromiter(map(len, out), np.int64, len(out))
         flat = np.fromiter((i for x in out for i in x), np.int64, int(size.sum()))
         of = np.repeat(np.arange(len(out)), size)
@@ -157,31 +206,55 @@ class Codec:
         self.exact_words += int(fails.sum())
         return out
 
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The words of a long text, some at a time; special tokens are cut out before."""
+        at = 0
+        for found in self.split_special.finditer(text) if self.split_special else ():
+            yield from pretokens(text[at : found.start()])
+            yield [found[0]]
+            at = found.end()
+        yield from pretokens(text[at:] if at else text)
+
+    def long_ids(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text of any length, some at a time."""
+        for words in self.runs(text):
+            if len(words) == 1 and len(raw := words[0].encode()) > BLOCK and words[0] not in self.special:
+                yield from (np.array(x, np.int64) for x in self.blocks(raw))
+            elif words:
+                yield self.ids_of(words)[0]
+
     def pretokens(self, text: str) -> list[str]:
         if self.split_special is None or not any(s in text for s in self.special):
             return split(text)
         return [w for k, part in enumerate(self.split_special.split(text)) for w in ([part] if k % 2 else split(part))]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
-        lists = [self.pretokens(t) for t in texts]
-        words = [w for x in lists for w in x]
-        if len(self.words) > MOST_WORDS:
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and where each word's begin and the last one's end."""
+        if len(self.words) > MOST_WORDS or self.held > MOST_HELD:
             self.forget()
         if fresh := list(set(words).difference(self.words)):
             self._add(fresh, self.encode_words([w.encode() for w in fresh]))
         index = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
         sizes = self.sizes[index]
         sums = np.r_[0, np.cumsum(sizes)]
-        ids = self.flat[np.repeat(self.offset[index] - sums[:-1], sizes) + np.arange(sums[-1])]
+        return self.flat[np.repeat(self.offset[index] - sums[:-1], sizes) + np.arange(sums[-1])], sums
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
+        lists = [self.pretokens(t) for t in texts]
+        ids, sums = self.ids_of([w for x in lists for w in x])
         ends = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
         return ids, np.diff(np.r_[0, sums[ends]])
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
-        """The texts in UTF-8; bytes that are none become replacement characters."""
+    def raw(self, ids: np.ndarray) -> bytes:
+        """The bytes of some tokens."""
         sizes = self.size[ids]
         sums = np.r_[0, np.cumsum(sizes)]
-        data = self.bytes[np.repeat(self.at[ids] - sums[:-1], sizes) + np.arange(sums[-1])].tobytes()
+        return self.bytes[np.repeat(self.at[ids] - sums[:-1], sizes) + np.arange(sums[-1])].tobytes()
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The texts in UTF-8; bytes that are none become replacement characters."""
+        data, sums = self.raw(ids), np.r_[0, np.cumsum(self.size[ids])]
         ends = sums[np.r_[0, np.cumsum(counts)]].tolist()
         return [data[a:b].decode("utf-8", "replace").encode() for a, b in zip(ends, ends[1:], strict=False)]
 
@@ -195,12 +268,12 @@ def codec_of(held: dict) -> Codec:
 
 def long_digests(codec: Codec, text: str) -> tuple[int, str, str]:
     """Count and digests of a text that is encoded and decoded part by part, so that no list of all its tokens is held."""
-    count, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-    for part in [text] if any(" " in s for s in codec.special) else chunks(text):  # a cut may not part a special token
-        ids, counts = codec.encode([part])
+    count, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+    for ids in codec.long_ids(text):
         count += len(ids)
         of_ids.update(ids.astype("<u4"))
-        of_text.update(codec.decode(ids, counts)[0])
+        of_text.update(decoder.decode(codec.raw(ids)).encode())
+    of_text.update(decoder.decode(b"", True).encode())
     return count, of_ids.hexdigest(), of_text.hexdigest()
 
 

@@ -21,13 +21,21 @@ def split(text: str) -> list[str]:
     return (_any if _beyond.search(text) else _plain).findall(text)
 
 
-_cut = re.compile(r"(?<=\S)(?= )")
+def pretokens(text: str, most: int = 1 << 18) -> Iterator[list[str]]:
+    """The pre-tokens of a text in runs from about `most` characters each, so that no list of all of them is held.
 
-
-def chunks(text: str, most: int = 1 << 20) -> Iterator[str]:
-    """A text in parts of about `most` characters, cut before a space that follows another sign: no pre-token spans that."""
+    What a pre-token is depends on the character after it and, as contractions have three, on three of its own: what a
+    part ends with may go on and is split again with the next one. A pre-token longer than a part is matched in the text."""
     at = 0
-    while len(text) - at > most and (found := _cut.search(text, at + most)):
-        yield text[at : found.start()]
-        at = found.start()
-    yield text[at:]
+    while len(text) - at > most:
+        found, back = split(text[at : at + most]), 0
+        while found and back < 3:
+            back += len(found.pop())
+        if found:
+            yield found
+            at += most - back
+        else:
+            stop = _any.match(text, at).end()
+            yield [text[at:stop]]
+            at = stop
+    yield split(text[at:])

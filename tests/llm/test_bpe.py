@@ -53,6 +53,41 @@ def test_matches_the_library(spark, library):
         assert digests[k].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_long_words_block_by_block(library, monkeypatch):
+    """Words of many blocks, with and without seams that have to be moved, against the library."""
+    codec, draw = Codec(**read_vocabulary(PATH)), random.Random(6)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    words = ["".join(draw.choices(signs, k=n)) for n in (4096, 4097, 30_000)] + ["a" * 50_001, "=" * 9999, " " * 20_003, "漢字かな" * 5000, "é" * 9000, "ab" * 9001, "nationalization" * 3000]
+    for block in (4096, 64, 7):
+        monkeypatch.setattr("branchstone.llm.bpe.BLOCK", block)
+        for word in words:
+            word = word if block > 7 else word[:3000]
+            if len(word.encode()) > block:
+                ids = [i for x in codec.blocks(word.encode()) for i in x]
+                assert ids == library.encode(word, add_special_tokens=False).ids, (word[:9], block)
+
+
+@pytest.mark.parametrize("kind", ["words", "letters", "japanese"])
+def test_memory_of_a_long_text(kind):
+    """10 MB in a process of its own: what is held beyond the text does not grow with it."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource, sys
+from branchstone.llm.bpe import Codec, long_digests, read_vocabulary
+draw = random.Random(1)
+text = {"words": "some words " * 900_000, "letters": "".join(draw.choices("abcdefgh", k=200)) * 15_000, "japanese": "漢字かな。カナ、" * 420_000}[sys.argv[1]]
+codec = Codec(**read_vocabulary(sys.argv[2]))
+long_digests(codec, "warm " * 1000)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+long_digests(codec, text)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", code, kind, PATH], capture_output=True, text=True, check=True)
+    assert int(said.stdout.split()[-1]) < 150
+
+
 def test_speculation_mostly_holds():
     codec = Codec(**read_vocabulary(PATH))
     words = list({w for t in texts() for w in codec.pretokens(t)})
