@@ -4,7 +4,7 @@ import public_tokenizers
 import regex
 
 from branchstone.llm import token_counts as module
-from branchstone.llm.pretokens import PATTERN, chunks, split
+from branchstone.llm.pretokens import PATTERN, pretokens, split
 from branchstone.llm.token_counts import Trie, read_costs, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -61,8 +61,37 @@ def test_empty(spark):
 
 
 def test_long_texts_are_cut_between_pretokens():
-    for text in [*texts(), "a  b \n c 's " * 50]:
-        for most in (1, 3, 10):
-            parts = list(chunks(text, most))
-            assert "".join(parts) == text
-            assert [w for p in parts for w in split(p)] == regex.findall(PATTERN, text)
+    for text in [*texts(), "a  b \n c 's " * 50, "don't '  \n\n x", "漢字。かな、" * 20]:
+        for most in (1, 2, 3, 10, 1000):
+            assert [w for run in pretokens(text, most) for w in run] == regex.findall(PATTERN, text)
+
+
+def test_long_words_need_no_nodes():
+    draw, costs = random.Random(8), read_costs(PATH)
+    trie, known = Trie(costs), {}
+    for word in ["".join(draw.choices("abcdeth", k=n)) for n in (257, 700)] + ["é" * 400, "ab" * 300, "\x00\x01" * 300]:
+        raw = word.encode()
+        for k in range(0, len(raw), 200):  # the brute force recurs
+            brute(raw[:k], costs, known)
+        assert trie.counts([word, word]) == 2 * brute(raw, costs, known)[1]
+        assert trie.rolling(raw) == Trie(costs).insert(raw)
+    assert len(trie.best) == 1
+
+
+def test_memory_of_a_long_word():
+    """10 MB without a space, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+from branchstone.llm.pretokens import pretokens
+from branchstone.llm.token_counts import Trie, read_costs
+trie, text = Trie(read_costs(sys.argv[1])), "x7Qz" * 2_500_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(sum(trie.counts(w) for w in pretokens(text)))
+print(sum(trie.counts(w) for w in pretokens("a" * 3_000_000)))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    said = subprocess.run([sys.executable, "-c", code, PATH], capture_output=True, text=True, check=True)
+    assert int(said.stdout.split()[-1]) < 150
