@@ -40,6 +40,11 @@ def repeated_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
     return _bitmaps(cells.where("n > 1"))
 
 
+def hit_filter(hashes: DataFrame, h: str, bits: int) -> DataFrame:
+    """A Bloom filter: bitmaps (bucket, bits) of the cells that any row hits."""
+    return _bitmaps(hashes.select(F.explode(F.array(*_places(F.col(h), bits))).alias("cell")))
+
+
 def _bitmaps(cells: DataFrame) -> DataFrame:
     cells = cells.select(F.shiftright("cell", BUCKET_BITS).alias("bucket"), F.col("cell").bitwiseAND(F.lit((1 << BUCKET_BITS) - 1)).alias("at"))
     return cells.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
@@ -72,8 +77,7 @@ def drop_ids(df: DataFrame, id_col: str, dropped: DataFrame, most_filter_bits: i
     named = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
     dropped = written(dropped.select(named(F.col(id_col)).alias("key")).distinct(), "dropped")
     bits = filter_bits(dropped.count(), most=most_filter_bits or broadcast_bits(df.sparkSession))
-    cells = dropped.select(F.explode(F.array(*_places(F.xxhash64("key"), bits))).alias("cell"))
-    found = written(_bitmaps(cells), "dropped-cells")
+    found = written(hit_filter(dropped.select(F.xxhash64("key").alias("h")), "h", bits), "dropped-cells")
     rows = df.select(F.struct(*[f"`{c}`" for c in df.columns]).alias("row"), named(F.col(f"`{id_col}`")).alias("key"))
     flagged = flag_repeats(rows.withColumn("h", F.xxhash64("key")), "h", found, bits, "hit")
     rest = flagged.where("hit").join(dropped, "key", "left_anti")

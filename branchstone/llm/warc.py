@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_groups, written
-from .exact_dedup import filter_bits, flag_repeats, repeated_filter
+from .exact_dedup import broadcast_bits, filter_bits, flag_repeats, hit_filter, repeated_filter
 
 # The format's version line and the profile of revisit records.
 VERSION = b"WARC/1.1\r\n"
@@ -32,12 +32,14 @@ def digest_of(state) -> str:
     return b32encode(state.digest()).decode()
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<{RECORD}{'' if page_id is None else page_id}>"
+def record_id(page_id: int | None, digest: str, place: str = "") -> str:
+    """The identifier of a record. A record that others may refer to is the only one of its page and payload; every other
+    has its place in the archives added, so that no two records share one."""
+    return f"<{RECORD}{'' if page_id is None else page_id}:{digest}{place and ':' + place}>"
 
 
 def page_of(identifier: bytes) -> int | None:
-    number = identifier.decode().removeprefix(f"<{RECORD}").removesuffix(">")
+    number = identifier.decode().removeprefix(f"<{RECORD}").split(":", 1)[0]
     return int(number) if number else None
 
 
@@ -47,41 +49,24 @@ def safe_uri(uri: str | None, page_id: int | None) -> bytes:
     return b"".join(b"%%%02X" % b if b <= 0x20 or b == 0x7F else bytes((b,)) for b in raw)
 
 
-def record_head(page_id: int | None, uri: str | None, size: int, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """All of a record before its payload: WARC header and HTTP head. A revisit ends here, and keeps the HTTP head."""
+def record_head(identifier: str, page_id: int | None, uri: str | None, size: int, digest: str, refers_to: str | None, date: str) -> bytes:
+    """All of a record before its payload: WARC header and HTTP head. A revisit, which refers to a record, ends here."""
+    revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     lines = [
         b"WARC-Type: " + (b"revisit" if revisit else b"response"),
-        b"WARC-Record-ID: " + record_id(page_id).encode(),
+        b"WARC-Record-ID: " + identifier.encode(),
         b"WARC-Date: " + date.encode(),
         b"WARC-Target-URI: " + safe_uri(uri, page_id),
         b"WARC-Payload-Digest: sha1:" + digest.encode(),
         b"Content-Type: application/http; msgtype=response",
         b"Content-Length: %d" % (len(http) + (0 if revisit else size)),
     ]
-    if revisit:
-        lines += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + record_id(refers_to).encode()]
+    if refers_to is not None:
+        lines += [b"WARC-Profile: " + PROFILE, b"WARC-Refers-To: " + refers_to.encode()]
     return VERSION + b"\r\n".join(lines) + b"\r\n\r\n" + http
 
 
-def record_chunks(page_id: int | None, uri: str | None, payload: bytes, refers_to: int | None, revisit: bool, chunk_bytes: int, date: str) -> Iterator[tuple[int, int, str, bytes]]:
-    """(chunk_no, n_chunks, running digest, bytes) of one record; the bytes one after the other are the record.
-
-    A chunk is a slice of the payload; the digest after each chunk goes with it."""
-    view, state = memoryview(payload), hashlib.sha1()
-    digest = digest_of(hashlib.sha1(view))
-    head = record_head(page_id, uri, len(view), digest, refers_to, revisit, date)
-    if revisit or len(view) <= chunk_bytes:
-        yield 0, 1, digest, b"".join((head, b"" if revisit else view, END))
-        return
-    parts = -(-len(view) // chunk_bytes)
-    yield 0, parts + 1, digest_of(state), head
-    for k in range(parts):
-        part = view[k * chunk_bytes : (k + 1) * chunk_bytes]
-        state.update(part)
-        yield k + 1, parts + 1, digest_of(state), b"".join((part, END if k == parts - 1 else b""))
-
-
 class Reader:
     """Parses one record from its chunks as they come; holds the head and the digest's state, never the payload."""
 
@@ -147,20 +132,33 @@ CHUNK_SCHEMA = pa.schema([("archive", pa.int32()), ("record_no", pa.int64()), ("
 FOUND_SCHEMA = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("uri", pa.string())])
 
 
-def _writer(chunk_bytes: int, date: str, batch_bytes: int = 8 << 20):
+def _writer(date: str, batch_bytes: int = 8 << 20):
+    """Chunks of records from rows of payload pieces, which come in order; no more than a piece is held."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archive, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
+        archive, number, rows, held = TaskContext.get().partitionId(), -1, [], 0
         for batch in batches:
-            for page, uri, payload, refers, revisit in zip(*batch.columns, strict=True):
-                page = page.as_py()
-                name = record_id(page)
-                for k, n, digest, data in record_chunks(page, uri.as_py(), payload.as_buffer() or b"", refers.as_py(), revisit.as_py(), chunk_bytes, date):
-                    rows.append((archive, number, name, k, n, digest, data))
-                    held += len(data)
-                    if held >= batch_bytes:
-                        yield _table(rows, CHUNK_SCHEMA)
-                        rows, held = [], 0
-                number += 1
+            for r in range(batch.num_rows):
+                page, uri, size, sha1, refers, revisit, own, k, count = (batch.column(c)[r].as_py() for c in range(9))
+                data = batch.column(9)[r].as_buffer() or b""
+                if k == 0:
+                    number, state = number + 1, hashlib.sha1()
+                    digest = b32encode(bytes.fromhex(sha1)).decode()
+                    name = record_id(page, digest, "" if own else f"{archive}-{number}")
+                    head = record_head(name, page, uri, size, digest, record_id(refers, digest) if revisit else None, date)
+                    if count == 1:
+                        rows.append((archive, number, name, 0, 1, digest, b"".join((head, data, END))))
+                    else:
+                        rows.append((archive, number, name, 0, count + 1, digest_of(state), head))
+                if count > 1:
+                    state.update(data)
+                    rows.append((archive, number, name, k + 1, count + 1, digest_of(state), b"".join((data, END if k == count - 1 else b""))))
+                    if k == count - 1 and digest_of(state) != digest:
+                        raise ValueError(f"{name}: the pieces are not the payload")
+                held += len(rows[-1][-1])
+                if held >= batch_bytes:
+                    yield _table(rows, CHUNK_SCHEMA)
+                    rows, held = [], 0
         yield _table(rows, CHUNK_SCHEMA)
 
     return run
@@ -186,24 +184,48 @@ def write_archives(df: DataFrame, id_col: str = "page_id", uri_col: str = "url",
     The rows of an archive by record_no and chunk_no are the bytes of a WARC file; export_files writes them. Of records
     with equal payloads of at least least_bytes bytes that with the smallest id is the response and the others revisit
     it. Null payloads count as empty, null URIs as the record's own identifier. A null id is smaller than none: it is
-    referred to only where all ids of a payload are null. Rows that share the smallest id are all responses. Other
-    columns are ignored; an empty table gives no chunks. Equal payloads are found by the Bloom filter of exact dedup:
-    only rows that may repeat are shuffled."""
+    referred to only where all ids of a payload are null. Rows that share the smallest id are all responses, and the
+    revisits refer to one of them. No two records share an identifier. Other columns are ignored; an empty table gives no
+    chunks. Equal payloads are found by the Bloom filter of exact dedup, and who revisits whom is settled by digests: the
+    only payloads that are shuffled are those of responses that are referred to. Digests are made, and payloads cut into
+    chunks, before they reach the writer, which never holds a whole one."""
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = df.select(F.col(id_col).cast("long").alias("page"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
-    count = df.count()
-    bits = filter_bits(count)
-    sized = rows.withColumn("__h", F.when(F.octet_length("payload") >= least_bytes, F.xxhash64("payload")))
-    found = written(repeated_filter(sized.where("__h is not null").select("__h"), "__h", bits), "repeated-cells")
-    probed = flag_repeats(sized, "__h", found, bits, "__again").drop("__h")
-    alone = F.coalesce(F.col("__again"), F.lit(False)) == F.lit(False)
-    once = probed.where(alone).drop("__again").withColumn("first", F.lit(None).cast("long")).withColumn("revisit", F.lit(False))
-    again = probed.where(~alone).drop("__again").withColumn("sha", F.sha2("payload", 256))
-    groups = again.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n"))
-    again = join_groups(again, groups, "sha", "n", count).withColumn("revisit", ~F.col("page").eqNullSafe(F.col("first")))
-    # what a revisit doesn't keep needn't go on, but its length and digest are of the full payload
-    both = once.unionByName(again.select("page", "uri", "payload", "first", "revisit"))
-    return both.select("page", "uri", "payload", "first", "revisit").mapInArrow(_writer(chunk_bytes, date), CHUNKS)
+    count, most = df.count(), broadcast_bits(df.sparkSession)
+    bits = filter_bits(count, most=most)
+    sized = rows.withColumn("h", F.when(F.octet_length("payload") >= least_bytes, F.xxhash64("payload")))
+    found = written(repeated_filter(sized.where("h is not null").select("h"), "h", bits), "repeated-cells")
+    probed = flag_repeats(sized, "h", found, bits, "again").withColumn("again", F.coalesce("again", F.lit(False)))
+    size, sha1 = F.octet_length("payload").cast("long").alias("size"), F.sha1("payload").alias("sha1")
+    nobody, no, yes = F.lit(None).cast("long").alias("refers"), F.lit(False), F.lit(True)
+    once = probed.where("not again").select("page", "uri", size, sha1, nobody, no.alias("revisit"), F.col("h").isNotNull().alias("own"), "payload")
+
+    again = probed.where("again").withColumn("sha", F.sha2("payload", 256))
+    light = written(again.select("page", "uri", size, sha1, "sha"), "repeated")
+    groups = written(light.groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("n")), "groups")
+    settled = join_groups(light, groups, "sha", "n", count).withColumn("revisit", ~F.col("page").eqNullSafe(F.col("first")))
+    revisits = settled.where("revisit").select("page", "uri", "size", "sha1", F.col("first").alias("refers"), "revisit", no.alias("own"), F.lit(None).cast("binary").alias("payload"))
+
+    pair = F.xxhash64("sha", "page")
+    bits = filter_bits(groups.count(), most=most)
+    firsts = written(hit_filter(groups.select(F.xxhash64("sha", F.col("first")).alias("h")), "h", bits), "response-cells")
+    chosen = flag_repeats(again.drop("h").withColumn("h", pair), "h", firsts, bits, "hit").where("hit")
+    named = groups.select("sha", F.col("first").alias("page"))
+    chosen = chosen.join(named, (chosen["sha"] == named["sha"]) & chosen["page"].eqNullSafe(named["page"]), "left_semi")
+    if light.groupBy("sha", "page").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        chosen = chosen.withColumn("own", yes)
+    else:  # of rows that share id and payload one is referred to
+        chosen = written(chosen.withColumn("row", F.monotonically_increasing_id()), "responses")
+        lows = written(chosen.groupBy("sha").agg(F.min("row").alias("low"), F.count("*").alias("n")), "lows")
+        chosen = join_groups(chosen, lows, "sha", "n", count).withColumn("own", F.col("row") == F.col("low"))
+    responses = chosen.select("page", "uri", size, sha1, nobody, no.alias("revisit"), "own", "payload")
+
+    every = once.unionByName(responses).unionByName(revisits)
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size - 1) div {chunk_bytes} as int)")), lambda k: F.substring("payload", k * chunk_bytes + 1, F.lit(chunk_bytes)))
+    pieces = F.when(F.col("revisit") | (F.col("size") <= chunk_bytes), F.array("payload")).otherwise(cut)
+    heads = every.select("page", "uri", "size", "sha1", "refers", "revisit", "own", pieces.alias("pieces"))
+    heads = heads.select("page", "uri", "size", "sha1", "refers", "revisit", "own", F.size("pieces").alias("count"), F.posexplode("pieces").alias("k", "data"))
+    return heads.select("page", "uri", "size", "sha1", "refers", "revisit", "own", "k", "count", "data").mapInArrow(_writer(date), CHUNKS)
 
 
 def read_archives(chunks: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ import hashlib
 import io
 from collections import Counter
 
-from branchstone.llm.warc import Reader, export_files, parse, read_archives, record_chunks, write_archives
+import pytest
+from pyspark.sql import functions as F
+
+from branchstone.llm.warc import Reader, export_files, parse, read_archives, write_archives
 
 ROWS = [(k, f"http://x/{k}", f"<p>{k % 5}</p>" + "\r\n\r\nWARC/1.1\r\n" * (k % 5)) for k in range(40)]
 ROWS += [(100, None, None), (101, "a b\r\nX: y\x7fé", ""), (102, "u", "é漢😀" * 50000), (99, "u", "é漢😀" * 50000), (103, "u", "x" * 65536), (104, "u", "x" * 65537), (105, "same", "twice"), (105, "same", "twice"), (None, "no id", "lone"), (None, "no id", "twice"), (106, "u", "\r\n\r\n"), (107, "u", "\r\n")]
@@ -46,15 +49,32 @@ def test_round_trip(spark, tmp_path):
         assert read == brute(6)
 
 
-def test_chunks_of_one_record():
-    payload = bytes(range(256)) * 1000
-    chunks = list(record_chunks(7, "u", payload, None, False, 1000, "1970-01-01T00:00:00Z"))
-    assert [c[0] for c in chunks] == list(range(257)) and {c[1] for c in chunks} == {257}
-    for k, _, digest, _ in chunks:
-        assert digest == base64.b32encode(hashlib.sha1(payload[: k * 1000]).digest()).decode()
-    raw = b"".join(c[3] for c in chunks)
+def test_no_two_records_share_an_identifier(spark):
+    rows = [*ROWS, (5, "x", "other"), (5, "y", "other"), (5, "z", None), (7, "x", "other"), (None, None, None)] + [(None, "u", f"n{k % 3}") for k in range(30)]
+    chunks = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).cache()
+    records = chunks.where("chunk_no = 0").select("record_id", F.col("data").cast("string").alias("head")).collect()
+    names = {r.record_id for r in records}
+    assert len(names) == len(records) == len(rows)
+    refers = [r.head.split("WARC-Refers-To: ", 1)[1].split("\r\n", 1)[0] for r in records if "WARC-Type: revisit" in r.head]
+    assert refers and set(refers) <= names
+    assert {r.record_id for r in records if "WARC-Type: response" in r.head} >= set(refers)
+
+
+@pytest.fixture(scope="module")
+def chunks(spark):
+    payload = bytearray(bytes(range(256)) * 1000)
+    df = spark.createDataFrame([(7, "u", payload), (8, "u", bytearray(b"payload"))], "page_id long, url string, html binary").coalesce(1)
+    return write_archives(df, chunk_bytes=1000).orderBy("record_no", "chunk_no").collect()
+
+
+def test_chunks_of_one_record(chunks):
+    payload, chunks = bytes(range(256)) * 1000, [c for c in chunks if c.n_chunks > 1]
+    assert [c.chunk_no for c in chunks] == list(range(257)) and {c.n_chunks for c in chunks} == {257}
+    for c in chunks:
+        assert c.running_digest == base64.b32encode(hashlib.sha1(payload[: c.chunk_no * 1000]).digest()).decode()
+    raw = b"".join(bytes(c.data) for c in chunks)
     assert raw.endswith(payload + b"\r\n\r\n")
-    assert next(parse(io.BytesIO(raw), 999))[:4] == (7, 256000, chunks[-1][2], "response")
+    assert next(parse(io.BytesIO(raw), 999))[:4] == (7, 256000, chunks[-1].running_digest, "response")
     for step in (1, 7, 100_000):  # however the bytes are cut
         reader = Reader()
         for k in range(0, len(raw), step):
@@ -62,14 +82,20 @@ def test_chunks_of_one_record():
         assert reader.result()[1] == 256000
 
 
-def test_damage_is_found():
-    (_, _, _, raw), = record_chunks(7, "u", b"payload", None, False, 1000, "1970-01-01T00:00:00Z")
+def test_damage_is_found(chunks):
+    raw = next(bytes(c.data) for c in chunks if c.n_chunks == 1)
+    assert len(list(parse(io.BytesIO(raw)))) == 1
     for bad in (raw.replace(b"payload", b"PAYLOAD"), raw[:-8]):
-        try:
+        with pytest.raises(ValueError):
             list(parse(io.BytesIO(bad)))
-        except ValueError:
-            continue
-        raise AssertionError
+
+
+def test_payloads_of_revisits_are_not_shuffled(spark):
+    """Whole payloads pass an exchange only on the way to the response that others refer to."""
+    plan = write_archives(frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan or "PythonMapInArrow" in plan
+    settled = [line for line in plan.splitlines() if "Exchange" in line and "payload" in line]
+    assert len(settled) <= 1
 
 
 def test_empty(spark):
