@@ -17,14 +17,16 @@ def lookup(batch: DataFrame, registry: DataFrame, key: str) -> DataFrame:
 def allocate(batch: DataFrame, registry: DataFrame, key: str, position: str, after: int) -> DataFrame:
     """(key, object_id) of the batch's keys that the registry lacks: after + 1 and on, by position, a whole number.
 
-    Positions are numbered in runs of RUN; only the runs' counts are added up in one place, so a batch of any size is
-    numbered without passing through one task."""
+    Positions are numbered in runs of RUN, the runs' counts added up in runs of runs, and only theirs in one place: a
+    batch of n rows spread over its positions passes n / RUN**2 rows through one task."""
     new = batch.join(registry.select(key), key, "left_anti").select(key, position)
     rows = new.withColumn("__run", F.floor(F.col(position) / RUN))
-    counts = rows.groupBy("__run").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("__run").agg(F.count("*").alias("__n")).withColumn("__outer", F.floor(F.col("__run") / RUN))
+    running = lambda window: F.coalesce(F.sum("__n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    outer = counts.groupBy("__outer").agg(F.sum("__n").alias("__n")).select("__outer", running(Window.orderBy("__outer")).alias("__base"))
+    counts = counts.withColumn("__inner", running(Window.partitionBy("__outer").orderBy("__run"))).join(outer, "__outer")
     within = F.row_number().over(Window.partitionBy("__run").orderBy(position))
-    rows = rows.withColumn("__within", within).join(counts.select("__run", before.alias("__before")), "__run")
+    rows = rows.withColumn("__within", within).join(counts.select("__run", (F.col("__inner") + F.col("__base")).alias("__before")), "__run")
     return rows.select(key, (F.lit(after) + F.col("__before") + F.col("__within")).alias("object_id"))
 
 

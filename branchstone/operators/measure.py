@@ -13,10 +13,19 @@ from pyspark.sql import types as T
 BUCKETS = 4096
 
 
+def instant_text(c: Column) -> Column:
+    """An instant in UTC, as 2024-02-29T01:02:03.000004+00:00, whatever the session's zone: dates have none."""
+    day, micros = 86_400_000_000, F.unix_micros(c)
+    rest = F.pmod(micros, F.lit(day))
+    part = lambda size, modulo: F.lpad(F.pmod(F.floor(rest / F.lit(size)), F.lit(modulo)).cast("string"), len(str(modulo - 1)), "0")
+    date = F.date_from_unix_date(((micros - rest) / F.lit(day)).cast("int")).cast("string")
+    return F.concat(date, F.lit("T"), part(3_600_000_000, 24), F.lit(":"), part(60_000_000, 60), F.lit(":"), part(1_000_000, 60), F.lit("."), F.lpad((rest % 1_000_000).cast("string"), 6, "0"), F.lit("+00:00"))
+
+
 def _text(name: str, kind: T.DataType) -> Column:
     c = F.col(f"`{name}`")
     if isinstance(kind, T.TimestampType):
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")  # the session's zone is UTC
+        return instant_text(c)
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
     if isinstance(kind, T.StructType) and "ewkb" in kind.names:  # a geometry
@@ -43,6 +52,12 @@ def measure(df: DataFrame, key: str, schema_hash: str, leave_out: Sequence[str]
     return lines.agg(F.count("*").alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_bytes"), F.sha2(F.concat(F.lit(f"{schema_hash}:"), joined), 256).alias("rows_sha256"))
 
 
+def byte_count(df: DataFrame, leave_out: Sequence[str] = ()) -> int:
+    """The canonical bytes of a table, without any digest."""
+    df = df.drop(*leave_out)
+    return df.agg(F.coalesce(F.sum(F.octet_length(canonical_row(df))), F.lit(0)).cast("long")).first()[0]
+
+
 def measure_tree(df: DataFrame, key: str, schema_hash: str, leave_out: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """The same counts with a digest of digests: rows by bucket of their key's hash, then buckets in order.
 

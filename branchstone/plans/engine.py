@@ -5,30 +5,39 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Collection
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.geometry import TYPE as GEOMETRY
-from ..functions.geometry import described, from_ewkt, geometry_checks
-from ..functions.predicates import checks, spark_type
-from ..operators.change import upsert
+from ..functions.geometry import described, from_ewkt, geometry_checks, geometry_faults
+from ..functions.predicates import checker, checks, spark_type, typed
 from ..operators.checks import duplicates, orphans
 from ..operators.identity import allocate
 from ..sources import layers
 from ..sources.log import EngineError, Store, require
-from .definition import UUID, DefinitionError, canonical, default_of, fingerprint, identifier, normalized, physical, value_of, variants_of
-
+from .definition import UUID, DefinitionError, Field, Model, canonical, fingerprint, identifier, normalized, physical
 
+# Limits of a batch.
 MOST_ROWS, MOST_EDITS = 10_000, 128
-FEW = 100
+# Ranges that have the codes of the common registry of spatial reference systems.
+KNOWN_SRIDS = (range(2000, 6000), range(6100, 9000), range(20_000, 33_000), range(900_913, 900_914))
+# What a descriptor says of identities.
+IDENTITY_BLOCK = {
+    "feature_uuid_field": "fid", "object_id_field": "object_id", "object_id_type": "int64", "object_id_json_encoding": "positive-decimal-string",
+    "never_recycled": True, "feature_revision_field": "feature_revision", "feature_revision_type": "uuid", "version_field": "version_id",
+}
+CONTRACT, ENCODING = "branchstone-dataset-v1", "branchstone-definition-json-v1"
+FEW = 100  # keys that are looked up by a pushed-down filter
+REGISTRIES = 16  # folders of identities that are kept apart
 IDENTITY = T.StructType([T.StructField("fid", T.StringType()), T.StructField("object_id", T.LongType())])
 SYSTEM = [T.StructField("fid", T.StringType()), T.StructField("object_id", T.LongType()), T.StructField("feature_revision", T.StringType())]
 
@@ -72,19 +81,26 @@ def all_checks(definition: dict) -> list:
 
 
 class Engine:
-    """The catalog of one root folder. Every public call either commits whole or leaves nothing behind."""
+    """The catalog of one root folder. Every public call either commits whole or has no effect; Parquet folders of a call
+    that was refused stay unnamed until store.vacuum().
+
+    srids: the spatial reference systems that datasets may use, a container (default: KNOWN_SRIDS)."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, srids: Collection[int] | None = None):
+        self.spark, self.store, self.srids = spark, Store(spark, root), srids
 
     # --- catalog ---------------------------------------------------------------------------------------------------
 
     def _group_of(self, kind: str, name: Any, code: str) -> str:
-        require(is_uuid(name) and f"{name}.json" in self.store.log.names(f"index/{kind}"), code)
-        return self.store.log.read(f"index/{kind}/{name}.json")["group_id"]
+        group = self.store.group_of(kind, name) if is_uuid(name) else None
+        require(group is not None and self.store.holds(kind, name, group), code)
+        return group
 
-    def _index(self, kind: str, name: str, group: str) -> None:
-        self.store.log.create(f"index/{kind}/{name}.json", {"group_id": group})
+    def _knows_srid(self, srid: int) -> bool:
+        return srid in self.srids if self.srids is not None else any(srid in r for r in KNOWN_SRIDS)
+
+    def _invariants(self, state: dict) -> None:
+        """What must hold of a state before it is committed."""
 
     def _definition(self, state: dict, dataset: str) -> dict:
         return state["revisions"][state["datasets"][dataset]["active_schema_revision"]]["definition"]
@@ -96,7 +112,9 @@ class Engine:
     def _transact(self, group: str, change, tries: int = 3):
         def clean(state: dict):
             state["events"] = []  # a log entry has the events of its own commit
-            return change(state)
+            result = change(state)
+            self._invariants(state)
+            return result
 
         return self.store.transact(group, clean, tries)
 
@@ -109,12 +127,14 @@ class Engine:
             definition = normalized(definition)
         except DefinitionError as e:
             raise EngineError("INVALID_DEFINITION", str(e)) from None
-        dataset, group = dataset_id or new_id(), version_group_id or new_id()
+        if definition["geometry"] is not None:
+            require(self._knows_srid(definition["geometry"]["srid"]), "UNKNOWN_SRID", str(definition["geometry"]["srid"]))
+        dataset, group = (dataset_id or new_id()).lower(), version_group_id or new_id()
         require(is_uuid(dataset) and is_uuid(group) and bool(catalog_item_id) and bool(policy_ref), "INVALID_MANAGED_REQUEST")
-        require(f"{dataset}.json" not in self.store.log.names("index/dataset"), "DUPLICATE_DATASET")
         require(set(natural_key or ()) <= {f["name"] for f in definition["fields"]}, "INVALID_DEFINITION", "natural key")
 
         def change(state: dict) -> None:
+            require(dataset not in state["datasets"], "DUPLICATE_DATASET")
             self._require_unpinned(state)
             for r in definition.get("relationships", []):
                 require(r["target_dataset"] in {*state["datasets"], dataset}, "RELATIONSHIP_TARGET_OUTSIDE_GROUP")
@@ -125,16 +145,22 @@ class Engine:
             version = state["versions"][state["default_version_id"]]
             version["head"], version["datasets"][dataset] = new_id(), layers.empty()
 
-        if version_group_id is None:
-            default = new_id()
-            state = {"group_id": group, "sequence": 0, "schema_generation": 0, "default_version_id": default, "versions": {default: {"name": "DEFAULT", "head": new_id(), "datasets": {}, "base_snapshot_id": None}}}
-            state |= {k: {} for k in ("datasets", "revisions", "snapshots", "branches", "plans", "requests", "measures")} | {"commits": [], "references": [], "events": [], "event_id": 0, "quota": None}
-            change(state)
-            self._index("version", default, group)
-            self.store.commit(state)
-        else:
-            self._transact(group, change)
-        self._index("dataset", dataset, group)
+        # the ids are this group's before it has them, so that no other group can come between
+        require(self.store.claim("dataset", dataset, group), "DUPLICATE_DATASET")
+        default = new_id()
+        try:
+            if version_group_id is None:
+                require(self.store.claim("version", default, group), "DUPLICATE_VERSION")
+                state = {"group_id": group, "sequence": 0, "schema_generation": 0, "default_version_id": default, "versions": {default: {"name": "DEFAULT", "head": new_id(), "datasets": {}, "base_snapshot_id": None}}}
+                state |= {k: {} for k in ("datasets", "revisions", "snapshots", "branches", "plans", "requests", "measures")} | {"commits": [], "references": [], "events": [], "event_id": 0, "quota": None}
+                change(state)
+                self.store.commit(state)
+            else:
+                self._transact(group, change)
+        except Exception:
+            self.store.release("dataset", dataset, group)
+            self.store.release("version", default, group)
+            raise
         return self.export_schema(dataset)
 
     def export_schema(self, dataset: str) -> dict:
@@ -145,10 +171,12 @@ class Engine:
         revision = state["revisions"][d["active_schema_revision"]]
         require(revision["sha256"] == fingerprint(revision["definition"]) and revision["canonical"] == canonical(revision["definition"]), "SCHEMA_FINGERPRINT_MISMATCH")
         default = state["default_version_id"]
+        head = state["versions"][default]["head"]
         return {
-            "dataset_id": dataset, "managed_name": d["managed_name"], "catalog_item_id": d["catalog_item_id"], "policy_ref": d["policy_ref"], "version_group_id": group,
-            "default_version_id": default, "head_revision": state["versions"][default]["head"], "schema_generation": state["schema_generation"],
-            "schema_revision_id": d["active_schema_revision"], "schema_sha256": revision["sha256"], "definition": revision["definition"],
+            "schema_version": 1, "contract": CONTRACT, "dataset_id": dataset, "managed_name": d["managed_name"], "catalog_item_id": d["catalog_item_id"], "policy_ref": d["policy_ref"],
+            "version_group_id": group, "default_version_id": default, "schema_revision_id": d["active_schema_revision"], "schema_sha256": revision["sha256"], "canonical_encoding": ENCODING,
+            "definition": revision["definition"], "group_schema_generation": state["schema_generation"], "identity": dict(IDENTITY_BLOCK), "current": {"version_id": default, "head_revision": head},
+            "head_revision": head, "schema_generation": state["schema_generation"],
         }
 
     def _require_unpinned(self, state: dict) -> None:
@@ -208,7 +236,7 @@ class Engine:
     def identities(self, dataset: str) -> DataFrame:
         """(fid, object_id) of every feature that the dataset ever had."""
         state = self.store.state(self._group_of("dataset", dataset, "UNKNOWN_DATASET"))
-        return self.store.read(state["datasets"][dataset]["identity"], IDENTITY)
+        return self._registry(state["datasets"][dataset])
 
     def export_identity(self, dataset: str, fid: str) -> dict:
         row = self.identities(dataset).where(F.col("fid") == fid.lower()).first()
@@ -256,89 +284,121 @@ class Engine:
 
     def load(self, dataset: str, version: str, expected_head: str, rows: DataFrame, replace: bool = False) -> str:
         """A batch of any size as a DataFrame: fid, the fields in their exact types and, with a geometry, its EWKT as
-        `geometry`. The same checks as for apply_rows, all of them as distributed plans; returns the new head.
+        `geometry`. Fields that have a default may be missing if all rows are new. The same checks as for apply_rows, all
+        of them as distributed plans; returns the new head.
 
-        The rows are written once before anything is decided; identities are allocated in the order they were written in."""
+        The rows are written once before anything is decided. They become a segment beside those that are there, so a
+        load costs what it holds, whatever the table holds; identities are allocated in the order they were written in."""
         group = self._group_of("dataset", dataset, "DATASET_VERSION_MISMATCH")
 
         def change(state: dict) -> str:
             target, entry = state["versions"].get(version), state["datasets"][dataset]
             require(version == state["default_version_id"], "DATASET_VERSION_MISMATCH")
             require(target["head"] == expected_head, "STALE_HEAD")
-            definition = self._definition(state, dataset)
+            definition, manifest = self._definition(state, dataset), target["datasets"][dataset]
             schema, wanted = rows_schema(definition), {f["name"]: spark_type(f) for f in definition["fields"]}
             given = {f.name: f.dataType for f in rows.schema.fields}
             geometry = {"geometry"} if definition["geometry"] is not None else set()
-            require(set(given) == {"fid", *wanted} | geometry and all(given[n] == t for n, t in wanted.items()), "FIELD_SET_MISMATCH")
-            fid = F.lower("fid")
-            staged = rows.select(fid.alias("fid"), *wanted, *([from_ewkt(F.col("geometry")).alias("geom"), F.col("geometry").isNotNull().alias("__text")] if geometry else []), F.monotonically_increasing_id().alias("__position"))
-            name = self.store.write(staged)
-            staged = self.spark.read.parquet(f"{self.store.log.root}/{name}")
+            missing = set(wanted) - set(given)
+            require(set(given) | missing == {"fid", *wanted} | geometry and all(given.get(n, t) == t for n, t in wanted.items()), "FIELD_SET_MISMATCH")
+            columns, known = default_columns(definition, missing)
+            shape = [from_ewkt(F.col("geometry")).alias("geom"), F.col("geometry").isNotNull().alias("__text")] if geometry else []
+            staged = rows.select(F.lower("fid").alias("fid"), *columns, *shape, known.alias("__known"), F.monotonically_increasing_id().alias("__position"))
+            staged = self.spark.read.schema(staged.schema).parquet(f"{self.store.log.root}/{self.store.write(staged)}")
             named = F.coalesce(F.col("fid").rlike(rf"\A(?:{UUID})\z"), F.lit(False))
-            read = ~F.col("__text") | F.col("geom.ewkb").isNotNull() if geometry else F.lit(True)
-            wrong = staged.agg(F.count_if(~named), F.count_if(~read)).first()
-            require(wrong[0] == 0, "INVALID_FEATURE_ROW")
-            require(wrong[1] == 0, "INVALID_GEOMETRY_INPUT")
+            unread = F.col("__text") & F.col("geom.ewkb").isNull() if geometry else F.lit(False)
+            plain = staged.withColumn("geom", F.when(F.col("__text"), F.col("geom"))) if geometry else staged
+            bad = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in all_checks(definition)], F.lit(None).cast("string")), lambda x: x.isNotNull())
+            found = plain.select("__position", "__known", (~named).alias("nameless"), unread.alias("unread"), F.when(F.size(bad) > 0, F.struct("__position", bad[0].alias("name"))).alias("bad"))
+            count, nameless, unread, unknown, first = found.agg(F.count("*"), F.count_if("nameless"), F.count_if("unread"), F.count_if(~F.col("__known")), F.min("bad")).first()
+            require(not nameless, "INVALID_FEATURE_ROW")
+            require(not unread, "INVALID_GEOMETRY_INPUT")
+            require(not unknown, "INVALID_SUBTYPE")
             require(duplicates(staged, ["fid"]).isEmpty(), "DUPLICATE_FEATURE_UUID")
-            if geometry:
-                staged = staged.withColumn("geom", F.when(F.col("__text"), F.col("geom")))
-            self._check_rows(staged, definition, "__position")
-            registry = self.store.read(entry["identity"], IDENTITY)
-            fresh = self.store.write(allocate(staged, registry, "fid", "__position", entry["next_object_id"] - 1))
-            made = self.store.read([fresh], IDENTITY)
-            entry["next_object_id"] += made.count()
-            entry["identity"] = [*entry["identity"], fresh]
-            full = staged.join(registry.unionByName(made), "fid").withColumn("feature_revision", F.expr("uuid()")).select(*schema.names)
-            if not replace and target["datasets"][dataset]["base"]:
-                written = self.store.read([self.store.write(full)], schema)  # revisions are drawn once
-                full = upsert(self._rows(state, target["datasets"][dataset], dataset), written, "fid")
-            target["datasets"][dataset] = layers.whole(self.store, full)
+            there = [] if replace and not missing else manifest["base"] + manifest["layers"]
+            old = self._rows(state, manifest, dataset).select("fid").join(staged.select("fid"), "fid", "left_semi") if there else None
+            replaced = old.count() if old is not None else 0
+            require(not (missing and replaced), "FIELD_SET_MISMATCH")
+            require(first is None, "CONSTRAINT_VIOLATION", first["name"] if first else "")
+
+            if entry["identity"]:
+                registry = self._registry(entry)
+                fresh = self.store.write(allocate(plain, registry, "fid", "__position", entry["next_object_id"] - 1))
+                made = self.store.read([fresh], IDENTITY)
+                allocated = made.count()
+                ids = registry.unionByName(made)
+            else:
+                fresh, allocated = None, count
+                ids = numbered(plain, entry["next_object_id"] - 1)
+            require(entry["next_object_id"] + allocated <= 1 << 63, "OBJECT_ID_OVERFLOW")
+            full = plain.join(ids, "fid").withColumn("feature_revision", F.expr("uuid()")).select(*schema.names)
+            if replace or not manifest["base"] + manifest["layers"]:
+                target["datasets"][dataset] = layers.whole(self.store, full, state["sequence"] + 1)
+            else:
+                if manifest["changed"] + replaced > layers.MOST_CHANGED:
+                    full = self.store.read([self.store.write(full)], schema)  # revisions are drawn once
+                target["datasets"][dataset] = layers.with_rows(self.store, manifest, schema, full, old, replaced, state["sequence"] + 1)
+            if allocated:  # the rows themselves name the identities of a first load
+                self._register(entry, fresh or target["datasets"][dataset]["base"][-1]["path"], allocated)
             self._check_sets(state, target["datasets"], {dataset: ALL})
             target["head"] = new_id()
             return target["head"]
 
         return self._transact(group, change)
 
-    def _apply(self, state: dict, target: dict, dataset: str, rows: list, replace: bool) -> list[str]:
+    def _registry(self, entry: dict) -> DataFrame:
+        """(fid, object_id) of every feature that a dataset ever had."""
+        return self.store.read([r["path"] for r in entry["identity"]], IDENTITY)
+
+    def _register(self, entry: dict, path: str, count: int) -> None:
+        """One more folder of identities; small ones are brought together when there are many."""
+        entry["next_object_id"] += count
+        entry["identity"] = sorted([*entry["identity"], {"path": path, "rows": count}], key=lambda r: -r["rows"])
+        if len(entry["identity"]) > REGISTRIES:
+            kept, small = entry["identity"][: REGISTRIES // 4], entry["identity"][REGISTRIES // 4 :]
+            merged = self.store.read([r["path"] for r in small], IDENTITY)
+            entry["identity"] = [*kept, {"path": layers.ordered(self.store, merged), "rows": sum(r["rows"] for r in small)}]
+
+    def _apply(self, state: dict, target: dict, dataset: str, rows: list, replace: bool, known: tuple[dict[str, int], dict[str, int]] | None = None) -> list[str]:
         """Gates a batch and puts it into the version's manifest. Its first wrong row, by position, names the error.
-        Returns the keys."""
+        Returns the keys. known: what _known says of them, where it has been asked.
+
+        A batch is bounded, so it is checked and written in hand; what is there of its keys takes one job."""
         definition, manifest = self._definition(state, dataset), target["datasets"][dataset]
         for row in rows:
             require(isinstance(row, dict) and isinstance(row.get("fid"), str) and isinstance(row.get("values"), dict), "INVALID_FEATURE_ROW")
+        entry, keys = state["datasets"][dataset], {r["fid"].lower() for r in rows}
+        present, ids = self._known(manifest, entry, keys, definition) if known is None else known
         if definition["schema_version"] == 2:
-            there = self._existing(state, manifest, dataset, {r["fid"].lower() for r in rows})
-            rows = [r if r["fid"].lower() in there else r | {"values": with_defaults(definition, r["values"])} for r in rows]
-        typed, error = gated(definition, rows)
-        if definition["geometry"] is not None:  # a batch is bounded, so its geometries are read here
-            for k, r in enumerate(typed):
-                shape = described(r[-1])
-                if r[-1] is not None and shape is None:
-                    typed, error = typed[:k], (k, "INVALID_GEOMETRY_INPUT", "")
-                    break
-                typed[k] = (*r[:-1], shape)
-        else:
-            typed = [r[:-1] for r in typed]
-        staged = self._local(typed, T.StructType([T.StructField("position", T.IntegerType()), T.StructField("fid", T.StringType()), *fields_schema(definition)]))
-        self._check_rows(staged, definition, "position")
+            rows = [r if r["fid"].lower() in present else r | {"values": with_defaults(definition, r["values"])} for r in rows]
+        typed_rows, error = gated(definition, rows)
+        names, check = [f["name"] for f in definition["fields"]], checker(definition)
+        for k, r in enumerate(typed_rows):
+            shape = described(r[-1]) if definition["geometry"] is not None else None
+            if r[-1] is not None and shape is None:
+                typed_rows, error = typed_rows[:k], (k, "INVALID_GEOMETRY_INPUT", "")
+                break
+            typed_rows[k] = (*r[:-1], shape)
+            bad = check(dict(zip(names, r[1:-1], strict=True))) or next(geometry_faults(definition["geometry"], shape), None)
+            require(bad is None, "CONSTRAINT_VIOLATION", bad or "")
         if error is not None:
             raise EngineError(error[1], error[2])
 
-        fids = [r[1] for r in typed]
-        entry = state["datasets"][dataset]
-        known = self._known(entry["identity"], fids)
-        fresh = [f for f in fids if f not in known]
+        fids = [r[0] for r in typed_rows]
+        fresh = [f for f in fids if f not in ids]
         require(entry["next_object_id"] + len(fresh) <= 1 << 63, "OBJECT_ID_OVERFLOW")
         if fresh:
-            made = [(f, entry["next_object_id"] + k) for k, f in enumerate(fresh)]
-            entry["identity"] = [*entry["identity"], self.store.write(self._local(made, IDENTITY))]
-            entry["next_object_id"] += len(fresh)
-            known |= dict(made)
-        names = self._local([(f, known[f], new_id()) for f in fids], T.StructType(SYSTEM))  # revisions are drawn once
-        full = staged.join(F.broadcast(names), "fid").select(*rows_schema(definition).names)  # a batch has MOST_ROWS rows at most
+            made = {f: entry["next_object_id"] + k for k, f in enumerate(fresh)}
+            ids |= made
+            self._register(entry, self.store.write_few(pa.table({"fid": pa.array(sorted(made), pa.string()), "object_id": pa.array([made[f] for f in sorted(made)], pa.int64())})), len(fresh))
+        schema = rows_schema(definition)
+        full = [(r[0], ids[r[0]], new_id(), *(r[1:] if definition["geometry"] is not None else r[1:-1])) for r in typed_rows]
+        columns = list(zip(*full, strict=True)) or [()] * len(schema)
+        table = pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
         if replace:
-            target["datasets"][dataset] = layers.whole(self.store, full)
+            target["datasets"][dataset] = layers.with_changes(self.store, layers.empty(), schema, table, [], state["sequence"] + 1)
         elif fids:
-            target["datasets"][dataset] = layers.with_changes(self.store, manifest, rows_schema(definition), full, None, len(fids), state["sequence"] + 1)
+            target["datasets"][dataset] = layers.with_changes(self.store, manifest, schema, table, [], state["sequence"] + 1)
         return fids
 
     def _local(self, rows: list[tuple], schema: T.StructType) -> DataFrame:
@@ -354,12 +414,22 @@ class Engine:
         wanted = self._local([(v,) for v in sorted(values)], T.StructType([T.StructField(column, T.StringType())]))
         return df.join(F.broadcast(wanted), column, "left_semi")
 
-    def _existing(self, state: dict, manifest: dict, dataset: str, fids: set[str]) -> set[str]:
-        return {r["fid"] for r in self._among(self._rows(state, manifest, dataset).select("fid"), fids).collect()} if fids else set()
-
-    def _known(self, registry: list[str], fids: list[str]) -> dict[str, int]:
-        found = self._among(self.store.read(registry, IDENTITY), fids).collect() if registry and fids else []
-        return {r["fid"]: r["object_id"] for r in found}
+    def _known(self, manifest: dict, entry: dict, fids: Collection[str], definition: dict) -> tuple[dict[str, int], dict[str, int]]:
+        """Of some keys: those that the version has, and those that the dataset ever had, with their identities. One job:
+        what layers and segments say of a key is few rows, of which the youngest counts."""
+        schema, found = rows_schema(definition), []
+        if fids and manifest["layers"]:
+            found.append(self.store.read(manifest["layers"], layers.delta_schema(schema)).select("fid", "object_id", "__seq", F.col("__gone").alias("gone")))
+        if fids:
+            found += [rows.select("fid", "object_id", F.lit(seq).cast("long").alias("__seq"), F.lit(False).alias("gone")) for seq, rows in layers.based(self.store, manifest, schema)]
+        if fids and entry["identity"]:
+            found.append(self._registry(entry).select("fid", "object_id", F.lit(-1).cast("long").alias("__seq"), F.lit(True).alias("gone")))
+        rows = [tuple(r) for r in self._among(reduce(DataFrame.unionByName, found), fids).collect()] if found else []
+        last: dict[str, tuple] = {}
+        for fid, _, seq, gone in rows:
+            last[fid] = max(last.get(fid, (-2, True)), (seq, not gone))
+        ever = {fid: number for fid, number, _, _ in rows if number is not None}
+        return {fid: ever[fid] for fid, (_, there) in last.items() if there and fid in ever}, ever
 
     def _check_rows(self, rows: DataFrame, definition: dict, order: str = "fid") -> None:
         found = [F.when(~ok, F.lit(name)) for name, ok in all_checks(definition)]
@@ -372,6 +442,8 @@ class Engine:
         of its rows are looked up, and the references to what it removed; after a replacement all rows are compared."""
         for dataset in sorted(set(state["datasets"]) & set(manifests)):
             definition, mine = self._definition(state, dataset), touched.get(dataset)
+            if not state["datasets"][dataset]["natural_key"] and not definition.get("relationships"):
+                continue
             rows = self._rows(state, manifests[dataset], dataset)
             if mine and (key := state["datasets"][dataset]["natural_key"]):
                 require(self._unique(rows, key, mine), "NATURAL_KEY_VIOLATION", ",".join(key))
@@ -403,26 +475,63 @@ class Engine:
 
 def with_defaults(definition: dict, values: dict) -> dict:
     """The values of a new row with defaults for fields that are not named; an explicit null stays."""
-    fields, subtypes = {f["name"]: f for f in definition["fields"]}, definition["subtypes"]
-    values, variant = dict(values), variants_of(definition)[0]
-    if subtypes:
-        selector = fields[subtypes["field"]]
-        if selector["name"] not in values and "default" in selector:
-            values[selector["name"]] = selector["default"]
-        code = values.get(selector["name"])
-        variant = next((v for v in subtypes["variants"] if type(v["code"]) is type(code) and v["code"] == code), None)
+    model, found = Model(definition), dict(values)
+    variant = model.variants[0]
+    if model.selector:
+        own = next((f for f in definition["fields"] if f["name"] == model.selector.name))
+        code = found.get(model.selector.name, own.get("default"))
+        variant = model.variant(code)
         require(variant is not None, "INVALID_SUBTYPE")
-    for name, field in fields.items():
-        has, default = default_of(field, variant)
-        if has and name not in values:
-            values[name] = default
-    return values
-
-
-def gated(definition: dict, rows: list[dict]) -> tuple[list[tuple], tuple[int, str, str] | None]:
-    """Typed rows up to the first that is refused, and where and why that is."""
+    return {name: cell.defaults[0] for name, cell in variant.cells.items() if cell.defaults} | found
+
+
+def default_columns(definition: dict, missing: Collection[str]) -> tuple[list[Column], Column]:
+    """The fields of new rows in order, missing ones by their defaults, and whether a row's variant is known.
+
+    A missing field needs a default in every variant, or FIELD_SET_MISMATCH."""
+    model = Model(definition)
+    known, selector = F.lit(True), None
+    value = lambda field, cell: typed(field, field.value(cell.defaults[0]))
+    if model.selector:
+        name = model.selector.name
+        require(name not in missing or bool(model.variants[0].cells[name].defaults), "FIELD_SET_MISMATCH", name)
+        selector = value(model.selector, model.variants[0].cells[name]) if name in missing else F.col(name)
+        known = F.coalesce(selector.isin([typed(model.selector, model.selector.value(v.code)) for v in model.variants]), F.lit(False)) if missing else known
+    columns = []
+    for name, field in model.fields.items():
+        if name not in missing:
+            columns.append(F.col(name))
+            continue
+        require(all(v.cells[name].defaults for v in model.variants), "FIELD_SET_MISMATCH", name)
+        column = value(field, model.variants[0].cells[name])
+        if selector is not None and name != model.selector.name:
+            for v in model.variants[1:]:
+                column = F.when(selector == typed(model.selector, model.selector.value(v.code)), value(field, v.cells[name])).otherwise(column)
+        columns.append(column.alias(name))
+    return columns, known
+
+
+def numbered(staged: DataFrame, after: int) -> DataFrame:
+    """(fid, object_id) of rows that are all new: after + 1 and on by __position, whose upper half is the partition that
+    wrote the row and whose lower half counts from 0, so that only the partitions' sizes are added up."""
+    part = F.shiftright("__position", 33)
+    sizes = sorted((r[0], r[1]) for r in staged.groupBy(part.alias("p")).agg(F.count("*")).collect())
+    total, offsets = after, []
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    if len(offsets) > MOST_ROWS:
+        spread = staged.sparkSession.createDataFrame(offsets, "p long, o long")
+        return staged.select("fid", "__position", part.alias("p")).join(F.broadcast(spread), "p").select("fid", (F.col("o") + F.col("__position").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("object_id"))
+    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for o in offsets for x in o]), part) if offsets else F.lit(after)
+    return staged.select("fid", (offset + F.col("__position").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("object_id"))
+
+
+def gated(definition: dict, rows: Iterable[dict]) -> tuple[list[tuple], tuple[int, str, str] | None]:
+    """Typed rows (fid, values, text of the geometry) up to the first that is refused, and where and why that is."""
     keys = {"fid", "values"} | ({"geometry"} if definition["geometry"] is not None else set())
-    fields, out, seen = definition["fields"], [], set()
+    fields, out, seen = [Field.of(f) for f in definition["fields"]], [], set()
+    names = {f.name for f in fields}
     for at, row in enumerate(rows):
         if set(row) != keys or not is_uuid(row["fid"]):
             return out, (at, "INVALID_FEATURE_ROW", "")
@@ -430,22 +539,18 @@ def gated(definition: dict, rows: list[dict]) -> tuple[list[tuple], tuple[int, s
         if fid in seen:
             return out, (at, "DUPLICATE_FEATURE_UUID", fid)
         seen.add(fid)
-        if set(values) != {f["name"] for f in fields}:
+        if set(values) != names:
             return out, (at, "FIELD_SET_MISMATCH", "")
-        typed = []
+        found = []
         for f in fields:
-            value = values[f["name"]]
-            if value is None and not f["nullable"]:
-                return out, (at, "NULL_NOT_ALLOWED", f["name"])
+            if values[f.name] is None and not f.nullable:
+                return out, (at, "NULL_NOT_ALLOWED", f.name)
             try:
-                # a string's length is a check on the row, as in a table
-                typed.append(value_of(f | {"max_length": 1 << 62} if f["type"] == "string" else f, value))
+                found.append(f.value(values[f.name], whole=False))
             except DefinitionError:
-                return out, (at, "INVALID_TYPED_VALUE", f["name"])
+                return out, (at, "INVALID_TYPED_VALUE", f.name)
         text = row.get("geometry")
         if text is not None and not (isinstance(text, str) and re.match(r"SRID=[0-9]+;", text)):
             return out, (at, "INVALID_GEOMETRY_INPUT", "")
-        out.append((at, fid, *typed, text))
+        out.append((fid, *found, text))
     return out, None
-
-

@@ -6,8 +6,10 @@ import hashlib
 import json
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..operators import merge as m
 from ..operators.change import changed_rows, feature_diff, removed_rows
@@ -33,15 +35,15 @@ class Workspace(Branches):
             require(target["head"] == expected_head, "STALE_BRANCH_HEAD")
             require(version == state["default_version_id"] or state["branches"][version]["state"] == "active", "BRANCH_NOT_ACTIVE")
             require(dataset in target["datasets"], "DATASET_VERSION_MISMATCH")
-            manifest, key = target["datasets"][dataset], fid.lower()
-            there = bool(self._existing(state, manifest, dataset, {key}))
-            require(there if operation != "insert" else not there, "UNKNOWN_FEATURE" if operation != "insert" else "DUPLICATE_FEATURE_UUID")
+            manifest, key, definition = target["datasets"][dataset], fid.lower(), self._definition(state, dataset)
+            present, ever = self._known(manifest, state["datasets"][dataset], {key}, definition)
+            require((key in present) if operation != "insert" else key not in present, "UNKNOWN_FEATURE" if operation != "insert" else "DUPLICATE_FEATURE_UUID")
             if operation == "delete":
-                schema = rows_schema(self._definition(state, dataset))
-                gone = self.spark.createDataFrame([(key,)], "fid string")
-                target["datasets"][dataset] = layers.with_changes(self.store, manifest, schema, self.store.read([], schema), gone, 1, state["sequence"] + 1)
+                schema = rows_schema(definition)
+                nothing = pa.table({f.name: pa.array([], to_arrow_type(f.dataType)) for f in schema.fields})
+                target["datasets"][dataset] = layers.with_changes(self.store, manifest, schema, nothing, [key], state["sequence"] + 1)
             else:
-                self._apply(state, target, dataset, [{"fid": fid, **row}], False)
+                self._apply(state, target, dataset, [{"fid": fid, **row}], False, (present, ever))
             one = frozenset({key})
             self._check_sets(state, target["datasets"], {dataset: Touched(frozenset(), one) if operation == "delete" else Touched(one, frozenset())})
             target["head"] = new_id()
@@ -103,7 +105,7 @@ class Workspace(Branches):
         done = m.three_way_merge(*sides, "fid", self._fields(state, dataset), CARRIED)
         kept = self.store.write(done.withColumn("merged", self._revised(done)))
         whole = self.spark.read.parquet(f"{self.store.log.root}/{kept}")
-        candidate = layers.whole(self.store, m.candidate(whole, "fid").select(*schema.names))
+        candidate = layers.whole(self.store, m.candidate(whole, "fid").select(*schema.names), state["sequence"] + 1)
         return {"candidate": candidate, "merge": kept, "open": m.conflicts(whole, "fid").count(), "resolved": {}}
 
     @staticmethod
@@ -142,8 +144,9 @@ class Workspace(Branches):
             found = m.conflicts(self.spark.read.parquet(f"{self.store.log.root}/{part['merge']}"), "fid").where(F.col("fid") == key)
             require(key not in part["resolved"] and not found.isEmpty(), "UNKNOWN_CONFLICT")
             schema = rows_schema(self._definition(state, dataset))
-            chosen = m.resolve(found, "fid", choice).select(*schema.names)
-            part["candidate"] = layers.with_changes(self.store, part["candidate"], schema, chosen, None, 1, state["sequence"] + 1)
+            chosen = m.resolve(found, "fid", choice).select(*schema.names).toArrow()
+            if len(chosen):
+                part["candidate"] = layers.with_changes(self.store, part["candidate"], schema, chosen, [], state["sequence"] + 1)
             part["resolved"][key] = choice
             part["open"] -= 1
             p["sealed"] = not any(x["open"] for x in p["datasets"].values())
@@ -166,8 +169,8 @@ class Workspace(Branches):
 
         def change(state: dict) -> str:
             p = self._plan(state, plan)
+            self._current(state, p)  # what has been left behind is stale, whatever its status
             require(p["status"] == "prepared", "INVALID_PLAN_STATE")
-            self._current(state, p)
             branch = state["versions"][p["branch_id"]]
             branch |= {"datasets": {d: x["candidate"] for d, x in p["datasets"].items()}, "base_snapshot_id": p["target_snapshot_id"], "head": new_id()}
             state["branches"][p["branch_id"]]["base_snapshot_id"] = p["target_snapshot_id"]
@@ -190,9 +193,8 @@ class Workspace(Branches):
                 require(done["payload"] == payload, "IDEMPOTENCY_CONFLICT")
                 return done["head"]
             p = self._plan(state, plan)
-            require(p["status"] == "accepted", "INVALID_PLAN_STATE")
-            require(source_head == p["accepted_head"] and target_head == p["target_head"], "STALE_RECONCILE")
             self._current(state, p)
+            require(p["status"] == "accepted" and source_head == p["accepted_head"] and target_head == p["target_head"], "STALE_RECONCILE")
             default, branch = state["versions"][state["default_version_id"]], state["versions"][p["branch_id"]]
             default |= {"datasets": {d: x["candidate"] for d, x in p["datasets"].items()}, "head": new_id()}
             after = self._capture(state, p["branch_id"])
@@ -213,6 +215,12 @@ class Workspace(Branches):
         now_, then = self._rows(state, state["versions"][p["branch_id"]]["datasets"][dataset], dataset), self._rows(state, p["datasets"][dataset]["candidate"], dataset)
         return removed_rows(now_, then, "fid"), changed_rows(now_, then, "fid", self._fields(state, dataset))
 
-    def events(self, group: str) -> list[dict[str, Any]]:
-        """All events of a group in order."""
-        return [e for name in self.store.log.names(f"groups/{group}/log") for e in self.store.log.read(f"groups/{group}/log/{name}")["events"]]
+    def events(self, group: str, after: int = 0, most: int = 1000) -> list[dict[str, Any]]:
+        """The events of a group in order, of whole commits from number `after` + 1 on until there are `most` or more;
+        each has its commit's `sequence`, from which the next page goes on."""
+        found: list[dict[str, Any]] = []
+        last = self.store.state(group)["sequence"]
+        while after < last and len(found) < most:
+            after += 1
+            found += [e | {"sequence": after} for e in self.store.log.read(self.store.path_of(group, after))["events"]]
+        return found

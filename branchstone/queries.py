@@ -11,6 +11,7 @@ from .functions import predicates as p
 from .functions.typed import gate
 from .operators import change, checks, identity, measure, merge
 from .plans.branches import TRANSITIONS
+from .plans.definition import Field, read_domain
 
 FIELDS = ["name", "value", "seg"]
 MONEY = "decimal(14,3)"
@@ -257,8 +258,8 @@ def row_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coded_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = {"name": "o_orderstatus", "type": "string", "nullable": True, "max_length": 1}
-    ok = p.passes(p.in_domain(field, {"kind": "coded", "values": ["F", "O"]}))
+    field = Field.of({"name": "o_orderstatus", "type": "string", "nullable": True, "max_length": 1})
+    ok = p.passes(p.in_domain(field, read_domain(field, {"kind": "coded", "values": ["F", "O"]})))
     return table(spark, sf_dir, "orders").where(~ok).select("o_orderkey", "o_orderstatus")
 
 
@@ -269,7 +270,7 @@ def null_check_vs_istrue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = {"name": "r", "kind": "compare", "field": "discount", "operator": "le", "operand": {"field": "tax"}}
-    field = lambda n: {"name": n, "type": "decimal", "nullable": True, "precision": 6, "scale": 2}
+    field = lambda n: Field.of({"name": n, "type": "decimal", "nullable": True, "precision": 6, "scale": 2})
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("decimal(6,2)").alias("discount"), F.col("l_tax").cast("decimal(6,2)").alias("tax"))
     return lines.where(~p.rule_predicate(rule, {n: field(n) for n in ("discount", "tax")})).groupBy("l_linenumber").agg(F.count("*").alias("n"), F.sum("discount").cast("decimal(18,2)").alias("discounts"))
 

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from branchstone.functions.typed import gate, gate_rows
 from branchstone.operators import checks, identity, measure
-from branchstone.plans.definition import DefinitionError, value_of
+from branchstone.plans.definition import DefinitionError, Field
 from branchstone.queries import SAMPLES
 
 
@@ -13,7 +13,7 @@ def test_gate_agrees_with_literals(spark):
         got = {r.k: (r.ok, r.value) for r in df.select("k", gate(F.col("t"), field)["ok"].alias("ok"), gate(F.col("t"), field)["value"].cast("string").alias("value")).collect()}
         for k, t in enumerate(texts):
             try:
-                value_of(field, int(t) if kind == "int32" and t and t.lstrip("-").isdigit() and str(int(t)) == t else t)
+                Field.of({"name": "x", **field}).value(int(t) if kind == "int32" and t and t.lstrip("-").isdigit() and str(int(t)) == t else t)
                 ok = True
             except DefinitionError:
                 ok = False
