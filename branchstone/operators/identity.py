@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LARGEST = (1 << 63) - 1
@@ -30,6 +30,16 @@ def allocate(batch: DataFrame, registry: DataFrame, key: str, position: str, aft
     return rows.select(key, (F.lit(after) + F.col("__before") + F.col("__within")).alias("object_id"))
 
 
+def as_text(column: str) -> Column:
+    """Identities as other systems get them: decimal texts."""
+    return F.col(column).cast("string")
+
+
+def as_int32(column: str) -> Column:
+    """Identities that fit into 32 bits, null for others; never a cut-off one."""
+    return F.when(F.col(column).between(1, (1 << 31) - 1), F.col(column).cast("int"))
+
+
 def object_id_int32(value: int) -> int:
     """The identity for consumers of 32 bits; never a cut-off one."""
     if type(value) is not int or not 0 < value < 1 << 31:

@@ -9,9 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Buckets of the two-level digest; each is put in order by itself.
-BUCKETS = 4096
-
 
 def instant_text(c: Column) -> Column:
     """An instant in UTC, as 2024-02-29T01:02:03.000004+00:00, whatever the session's zone: dates have none."""
@@ -58,16 +55,17 @@ def byte_count(df: DataFrame, leave_out: Sequence[str] = ()) -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(canonical_row(df))), F.lit(0)).cast("long")).first()[0]
 
 
-def measure_tree(df: DataFrame, key: str, schema_hash: str, leave_out: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """The same counts with a digest of digests: rows by bucket of their key's hash, then buckets in order.
+def measure_tree(df: DataFrame, key: str, schema_hash: str, leave_out: Sequence[str] = (), digits: int = 3, row: Column | None = None) -> DataFrame:
+    """The same counts with a digest of digests: rows by the first hexadecimal digits of their key's MD5, then these
+    buckets in order.
 
-    No task has more than a bucket's rows, so raise `buckets` with the table. It is another format than measure's."""
+    No task has more than a bucket's rows, so take more digits as the table grows. It is another format than measure's."""
     df = df.drop(*leave_out)
-    lines = df.select(F.col(key).cast("string").alias("k"), canonical_row(df).alias("line"))
-    lines = lines.select(F.pmod(F.xxhash64("k"), F.lit(buckets)).alias("b"), "k", F.octet_length("line").alias("n"), F.sha2("line", 256).alias("h"))
-    each = lines.groupBy("b").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    joined = F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ""), F.lit(""))
-    return each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_bytes"), F.sha2(F.concat(F.lit(f"{schema_hash}:tree:"), joined), 256).alias("rows_sha256"))
+    lines = df.select(F.col(key).cast("string").alias("k"), (canonical_row(df) if row is None else row).alias("line"))
+    lines = lines.select(F.substring(F.md5("k"), 1, digits).alias("b"), "k", F.octet_length("line").alias("n"), F.sha2("line", 256).alias("h"))
+    joined = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(of, "h"))), lambda x: x["h"]), "")
+    each = lines.groupBy("b").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sha2(joined("k"), 256).alias("h"))
+    return each.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("row_bytes"), F.sha2(F.concat(F.lit(f"{schema_hash}:tree:"), F.coalesce(joined("b"), F.lit(""))), 256).alias("rows_sha256"))
 
 
 def empty_digest(schema_hash: str) -> str:
@@ -75,8 +73,8 @@ def empty_digest(schema_hash: str) -> str:
 
 
 def same(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: whether two measures agree, and both counts."""
-    a = before.select(*[F.col(c).alias(f"before_{c}") for c in before.columns])
-    b = after.select(*[F.col(c).alias(f"after_{c}") for c in after.columns])
-    both = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one")
-    return both.select("before_row_count", "after_row_count", ((F.col("before_row_count") == F.col("after_row_count")) & (F.col("before_rows_sha256") == F.col("after_rows_sha256"))).alias("intact"))
+    """One row: both measures' counts and digests, and whether they agree."""
+    a = before.select(*[F.col(c).alias(f"before_{c}") for c in before.columns], F.lit(1).alias("one"))
+    b = after.select(*[F.col(c).alias(f"after_{c}") for c in after.columns], F.lit(1).alias("one"))
+    agree = [F.col(f"before_{c}") == F.col(f"after_{c}") for c in before.columns]
+    return a.join(b, "one").drop("one").withColumn("intact", agree[0] & agree[1] & agree[2])

@@ -503,10 +503,10 @@ def default_columns(definition: dict, missing: Collection[str]) -> tuple[list[Co
             columns.append(F.col(name))
             continue
         require(all(v.cells[name].defaults for v in model.variants), "FIELD_SET_MISMATCH", name)
-        column = value(field, model.variants[0].cells[name])
-        if selector is not None and name != model.selector.name:
-            for v in model.variants[1:]:
-                column = F.when(selector == typed(model.selector, model.selector.value(v.code)), value(field, v.cells[name])).otherwise(column)
+        if selector is None or name == model.selector.name:
+            column = value(field, model.variants[0].cells[name])
+        else:
+            column = F.coalesce(*[F.when(selector == typed(model.selector, model.selector.value(v.code)), value(field, v.cells[name])) for v in model.variants])
         columns.append(column.alias(name))
     return columns, known
 

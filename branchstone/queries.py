@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import engine_queries as engine
 from .functions import predicates as p
+from .functions.geometry import ordinate, point
 from .functions.typed import gate
 from .operators import change, checks, identity, measure, merge
-from .plans.branches import TRANSITIONS
+from .plans.branches import editors_of
 from .plans.definition import Field, read_domain
+from .plans.engine import default_columns
 
 FIELDS = ["name", "value", "seg"]
 MONEY = "decimal(14,3)"
@@ -119,14 +122,6 @@ def accepted_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.candidate(m, "fid").unionByName(merge.resolve(merge.conflicts(m, "fid"), "fid", "ours"))
 
 
-def version_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides(spark, sf_dir)[1]
-
-
-def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides(spark, sf_dir)[0]
-
-
 # --- sinks over part -----------------------------------------------------------------------------------------------------
 
 
@@ -276,13 +271,10 @@ def compare_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insert_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """New rows of two kinds with fields that the input does not name."""
-    rows = table(spark, sf_dir, "part").where("p_partkey % 3 = 1").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("B").alias("kind"), (F.col("p_partkey") % 5 == 0).alias("named"), "p_size")
-    size = F.when(F.col("named"), F.col("p_size"))
-    for variant in reversed(PART_DEFINITION["subtypes"]["variants"]):
-        default = variant["defaults"].get("size", PART_DEFINITION["fields"][1]["default"])
-        size = size.when(~F.col("named") & (F.col("kind") == variant["code"]), F.lit(default))
-    return rows.select("p_partkey", "kind", size.cast("int").alias("size"))
+    """New rows of every variant without a field that has defaults, as a bulk load fills it in."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")), (F.col("p_partkey") % 4 + 1).cast("int")).alias("kind"), F.lit(None).cast("decimal(12,2)").alias("price"), F.lit(None).cast("decimal(12,2)").alias("floor"))
+    columns, known = default_columns(PART_DEFINITION, {"size"})
+    return rows.select("p_partkey", *columns[:2], known.alias("known"))
 
 
 # --- typed gates ---------------------------------------------------------------------------------------------------------------
@@ -307,7 +299,7 @@ def typed_gate(kind: str) -> Callable[[SparkSession, str], DataFrame]:
         field = {"name": "x", "type": kind, "nullable": True, "precision": 12, "scale": 2}
         g = gate(F.col("text"), field)
         value: Column = g["value"]
-        value = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind == "timestamp" else value.cast("string")
+        value = F.substring(F.replace(measure.instant_text(value), F.lit("T"), F.lit(" ")), 1, 26) if kind == "timestamp" else value.cast("string")
         return sample_table(spark, kind).select("k", g["ok"].alias("ok"), value.alias("value"))
 
     return run
@@ -327,7 +319,7 @@ def gate_sql(kind: str) -> str:
     }[kind]
     value = {
         "int32": "text::integer::varchar", "int64": "text::bigint::varchar", "decimal": "text::decimal(12,2)::varchar", "date": "text::date::varchar", "uuid": "lower(text)",
-        "timestamp": "case k when 0 then '2024-01-01 00:00:00.123456' else '2024-01-01 01:30:00.000000' end",
+        "timestamp": "strftime(make_timestamp(epoch_us(try_cast(upper(text) as timestamptz))), '%Y-%m-%d %H:%M:%S.%f')",
     }[kind]
     return f"with t(k, text) as (values {rows}), g as (select k, text, text is null or coalesce({good}, false) as ok from t) select k, ok, case when ok and text is not null then {value} end as value from g"
 
@@ -336,6 +328,7 @@ def gate_sql(kind: str) -> str:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identities of some of the suppliers, so that others have none."""
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0")
     return s.select(F.col("s_suppkey").alias("fid"), (F.col("s_suppkey") * 10).alias("object_id"))
 
@@ -351,7 +344,10 @@ def identity_allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def object_id_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry(spark, sf_dir).select("fid", F.col("object_id").cast("string").alias("object_id"))
+    """The identities of all suppliers, allocated in order, as text and, where they fit, in 32 bits."""
+    batch = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fid"), F.col("s_suppkey").alias("position"))
+    made = identity.allocate(batch, registry(spark, sf_dir).limit(0), "fid", "position", identity.LARGEST // 2**32 - 50)
+    return made.select("fid", identity.as_text("object_id").alias("object_id"), identity.as_int32("object_id").alias("small"))
 
 
 def snapshot_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +356,12 @@ def snapshot_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.measure(rows, "key", "hash", row=line)
 
 
+def snapshot_measure_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measure.measure_tree(features(spark, sf_dir), "fid", "hash", digits=2)
+
+
 def snapshot_verify_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy that lacks some rows: both measures, digests among them, and whether they agree."""
     rows = features(spark, sf_dir).withColumn("key", F.lpad(F.col("fid").cast("string"), 12, "0"))
     whole = measure.measure(rows, "key", "hash")
     return measure.same(whole, measure.measure(rows.where("fid % 100 <> 1"), "key", "hash"))
@@ -371,7 +372,8 @@ def empty_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").limit(101).agg(F.count("*").alias("n"), (F.count("*") > 100).alias("above"))
+    n = checks.bounded_count(table(spark, sf_dir, "events"), 100)
+    return spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(n > 100).alias("above"))
 
 
 def source_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,13 +381,13 @@ def source_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def editor_set_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct values in order, as one text; the set of a group is bounded by the number of event types."""
-    return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("branch")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("editors"))
-
-
-def branch_list_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "nation").select(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).alias("b"))
-    return b.agg(F.to_json(F.array_sort(F.collect_list("b"))).alias("branches"))
+    """The editors of some branches, given in any case and more than once, as a reservation keeps them; there are as many
+    as there are types of events."""
+    name = F.md5("event_type")
+    fid = F.regexp_replace(name, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    given = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("branch")).agg(F.collect_set(F.when(F.col("event_id") % 2 == 0, fid).otherwise(F.upper(fid))).alias("editors"))
+    found = [(r.branch, ",".join(editors_of("shared", list(r.editors)))) for r in given.collect()]
+    return spark.createDataFrame(found, "branch long, editors string")
 
 
 def bbox_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -419,19 +421,29 @@ def json_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.groupBy("key").agg(F.count("*").alias("n"))
 
 
-def lifecycle_legal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(a).alias("from_state"), F.lit(b).alias("to_state")) for a, b in sorted(TRANSITIONS)])
-    return spark.range(1).select(F.inline(rows))
+def price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median and 95th percentile, as the workload's figures have them."""
+    q = F.percentile(F.col("l_quantity").cast("int"), F.lit([0.5, 0.95]))
+    return table(spark, sf_dir, "lineitem").agg(q[0].alias("median"), q[1].alias("p95"), F.count("*").alias("n"))
+
+
+def point_accessors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points made of ordinates, read back from their bytes."""
+    k = F.col("c_custkey")
+    made = table(spark, sf_dir, "customer").select("c_custkey", point(k % 360 - 180, k % 90, 4326, k / 8, measured=True).alias("geom"))
+    g = F.col("geom")
+    return made.select("c_custkey", *[ordinate(g, c).alias(c) for c in "xyzm"], g["zm"].alias("zm"), g["valid"].alias("valid"))
 
 
-def quota_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    usage = o.groupBy((F.col("o_custkey") % 10).alias("branch")).agg(F.count("*").alias("rows"), F.sum(F.octet_length("o_orderpriority")).cast("long").alias("bytes"))
-    return usage.withColumn("within", (F.col("rows") <= 1500) & (F.col("bytes") <= 20000))
+def session_zone_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants in canonical texts, which no session's zone changes."""
+    rows = table(spark, sf_dir, "events").select("event_id", measure.instant_text(F.col("ts").cast("timestamp")).alias("at"))
+    return rows.agg(F.count("*").alias("n"), F.min("at").alias("low"), F.max("at").alias("high"))
 
 
 def fixture_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated features that the workload benchmark loads."""
+    """The generated features that the workload benchmark loads. The formulas of the published workload,
+    without which its figures could not be compared."""
     n = F.col("id")
     digest = F.md5(F.concat(F.lit("assets"), n.cast("string")))
     fid = F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
@@ -445,10 +457,10 @@ def _sql(ctes: str, body: str) -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        version_scan, snapshot_scan, merge_outcomes, merge_rows, merge_candidate, merge_conflicts, merge_conflict_fields, accepted_branch, feature_diff, apply_snapshot_delete, apply_snapshot_changed,
+        merge_outcomes, merge_rows, merge_candidate, merge_conflicts, merge_conflict_fields, accepted_branch, feature_diff, apply_snapshot_delete, apply_snapshot_changed,
         upsert_rows, replace_rows, delete_rows, natural_key_duplicates, one_to_one_duplicates, fk_orphans, fk_semi, restrict_delete_violations, row_violations, coded_domain, null_check_vs_istrue,
-        compare_lines, insert_defaults, identity_lookup, identity_allocate, object_id_text, snapshot_measure, snapshot_verify_copy, empty_measure, bounded_count, source_bytes, editor_set_normalize,
-        branch_list_json, bbox_filter, bbox_limit, outbox_undelivered, json_object, json_keys, lifecycle_legal_transitions, quota_usage, fixture_points,
+        compare_lines, insert_defaults, identity_lookup, identity_allocate, object_id_text, snapshot_measure, snapshot_measure_tree, snapshot_verify_copy, empty_measure, bounded_count, source_bytes, editor_set_normalize,
+        bbox_filter, bbox_limit, outbox_undelivered, json_object, json_keys, price_percentiles, point_accessors, session_zone_digest, fixture_points,
     )
 } | {
     **{f"resolve_{s}": resolved(s) for s in merge.SIDES},
@@ -459,7 +471,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_field_rule": violating("rule:above_floor"),
     "compare_literal_rule": violating("rule:not_seven"),
     **{f"typed_gate_{k}": typed_gate(k) for k in SAMPLES},
-}
+} | engine.QUERIES
 
 BAD = {
     "range_domain": "(kind in ('A', 'B', 'C') and not coalesce(price between 920 and 980, true))",
@@ -474,8 +486,6 @@ PRESENT = "case outcome when 'take_theirs' then ht when 'take_ours' then ho else
 PICKED = ", ".join(f"{WINNER.format(t=t, o=o, m=m)} as {n}" for n, t, o, m in (("name", "n2", "n1", "nm"), ("value", "v2", "v1", "vm"), ("seg", "s2", "s1", "sm")))
 
 ORACLE_SQL: dict[str, str] = {
-    "version_scan": _sql(SIDES_SQL, "select * from ours"),
-    "snapshot_scan": _sql(SIDES_SQL, "select * from base"),
     "merge_outcomes": _sql(SIDES_SQL, "select outcome, count(*)::bigint as rows, sum(fid)::bigint as fids from merged group by outcome"),
     "merge_rows": _sql(SIDES_SQL, f"select fid, outcome, case outcome when 'field' then array_to_string(open, ',') when 'existence' then 'existence' end as conflict_fields, {PICKED} from merged"),
     "merge_candidate": _sql(SIDES_SQL, f"select fid, {PICKED} from merged where {PRESENT}"),
@@ -509,33 +519,43 @@ ORACLE_SQL: dict[str, str] = {
     "compare_lines": """
         with lines as (select l_linenumber, l_discount::decimal(6,2) as discount, l_tax::decimal(6,2) as tax from lineitem)
         select l_linenumber, count(*) as n, sum(discount)::decimal(18,2) as discounts from lines where not coalesce(discount <= tax, false) group by l_linenumber""",
-    "insert_defaults": """
-        select p_partkey, case when p_partkey % 2 = 0 then 'A' else 'B' end as kind,
-               case when p_partkey % 5 = 0 then p_size when p_partkey % 2 = 0 then 10 else 7 end::integer as size from part where p_partkey % 3 = 1""",
+    "insert_defaults": "select p_partkey, (['A', 'B', 'C', 'D'])[(p_partkey % 4 + 1)::integer] as kind, case p_partkey % 4 when 0 then 10 when 1 then 7 when 2 then 7 end::integer as size, p_partkey % 4 <> 3 as known from part",
     "identity_lookup": "select s_suppkey as fid, s_name, case when s_suppkey % 3 = 0 then s_suppkey * 10 end as object_id from supplier",
     "identity_allocate": "select c_custkey as fid, 5000 + row_number() over (order by c_custkey desc) as object_id from customer where c_custkey % 4 <> 0",
-    "object_id_text": "select s_suppkey as fid, (s_suppkey * 10)::varchar as object_id from supplier where s_suppkey % 3 = 0",
+    "object_id_text": """
+        with made as (select s_suppkey as fid, 2147483647 - 50 + row_number() over (order by s_suppkey) as n from supplier)
+        select fid, n::varchar as object_id, case when n < 2147483648 then n end::integer as small from made""",
     "snapshot_measure": _sql(SIDES_SQL, """
         , lines as (select fid, concat_ws('|', fid::varchar, name, value::varchar, seg) as line from features)
         select count(*) as row_count, sum(octet_length(encode(line)))::bigint as row_bytes, sha256('hash:' || string_agg(sha256(line), '' order by fid)) as rows_sha256 from lines"""),
-    "snapshot_verify_copy": _sql(SIDES_SQL, "select count(*) as before_row_count, count(*) filter (fid % 100 <> 1) as after_row_count, count(*) filter (fid % 100 = 1) = 0 as intact from features"),
+    "snapshot_measure_tree": _sql(SIDES_SQL, """
+        , lines as (select fid::varchar as k, '{"fid":"' || fid || '","name":"' || name || '","seg":"' || seg || '","value":"' || value || '"}' as line from features),
+        buckets as (select substr(md5(k), 1, 2) as b, count(*) as c, sum(octet_length(encode(line))) as n, sha256(string_agg(sha256(line), '' order by k)) as h from lines group by 1)
+        select sum(c)::bigint as row_count, sum(n)::bigint as row_bytes, sha256('hash:tree:' || string_agg(h, '' order by b)) as rows_sha256 from buckets"""),
+    "snapshot_verify_copy": _sql(SIDES_SQL, """
+        , lines as (
+            select fid, lpad(fid::varchar, 12, '0') as k, '{"fid":"' || fid || '","key":"' || lpad(fid::varchar, 12, '0') || '","name":"' || name || '","seg":"' || seg || '","value":"' || value || '"}' as line from features),
+        before as (select count(*) as n, sum(octet_length(encode(line)))::bigint as b, sha256('hash:' || string_agg(sha256(line), '' order by k)) as h from lines),
+        after as (select count(*) as n, sum(octet_length(encode(line)))::bigint as b, sha256('hash:' || string_agg(sha256(line), '' order by k)) as h from lines where fid % 100 <> 1)
+        select x.n as before_row_count, x.b as before_row_bytes, x.h as before_rows_sha256, y.n as after_row_count, y.b as after_row_bytes, y.h as after_rows_sha256, x.h = y.h as intact from before x, after y"""),
+    "editor_set_normalize": """
+        with e as (select distinct user_id % 50 as branch, md5(event_type) as h from events),
+        ids as (select branch, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) as fid from e)
+        select branch, string_agg(fid, ',' order by fid) as editors from ids group by branch""",
+    "price_percentiles": "select quantile_cont(l_quantity::integer, 0.5)::double as median, quantile_cont(l_quantity::integer, 0.95)::double as p95, count(*) as n from lineitem",
+    "point_accessors": "select c_custkey, (c_custkey % 360 - 180)::double as x, (c_custkey % 90)::double as y, null::double as z, c_custkey / 8 as m, 1 as zm, true as valid from customer",
+    "session_zone_digest": "with t as (select strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as a from events) select count(*) as n, min(a) as low, max(a) as high from t",
     "empty_measure": "select 0::bigint as row_count, 0::bigint as row_bytes, sha256('hash:') as rows_sha256",
     "bounded_count": "select count(*) as n, count(*) > 100 as above from (select 1 from events limit 101)",
     "source_bytes": "select count(*) as row_count, coalesce(sum(octet_length(encode(props))), 0)::bigint as row_bytes from events",
-    "editor_set_normalize": "select user_id % 50 as branch, array_to_string(list_sort(list(distinct event_type)), ',') as editors from events group by user_id % 50",
-    "branch_list_json": "select '[' || string_agg('{\"id\":' || n_nationkey || ',\"name\":\"' || n_name || '\"}', ',' order by n_nationkey) || ']' as branches from nation",
     "bbox_filter": "select c_custkey from customer where c_custkey % 30000 / 1000 between 0.25 and 1.25 and c_custkey % 10000 / 1000 between 0.1 and 10",
     "bbox_limit": "select count(*) as n from (select c_custkey from customer where c_custkey % 30000 / 1000 between 0.25 and 1.25 and c_custkey % 10000 / 1000 between 0.1 and 10 limit 1000)",
     "outbox_undelivered": "select event_id, event_type from events where event_type not in ('view', 'click')",
     "json_object": "select '{' || string_agg('\"' || r_name || '\":' || r_regionkey, ',' order by r_name) || '}' as regions from region",
     "json_keys": "select unnest(json_keys(props)) as key, count(*) as n from events group by 1",
-    "lifecycle_legal_transitions": "select * from (values ('active', 'archived'), ('active', 'deletion_pending'), ('archived', 'deletion_pending'), ('deletion_pending', 'deleted'), ('creation_failed', 'deleted')) t(from_state, to_state)",
-    "quota_usage": """
-        select o_custkey % 10 as branch, count(*) as rows, sum(octet_length(encode(o_orderpriority)))::bigint as bytes, count(*) <= 1500 and sum(octet_length(encode(o_orderpriority))) <= 20000 as within
-        from orders group by o_custkey % 10""",
     "fixture_points": """
         select substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) as fid, lpad(id::varchar, 30, 'x') as name, ((id % 1000) / 10)::decimal(14,3) as value
         from (select id, md5('assets' || id) as h from range(1, 2001) t(id))""",
     **{name: _sql(TYPED_SQL, f"select p_partkey from rows where {bad}") for name, bad in BAD.items()},
     **{f"typed_gate_{k}": gate_sql(k) for k in SAMPLES},
-}
+} | engine.ORACLE_SQL
