@@ -11,24 +11,43 @@ from pyspark.sql import functions as F
 from .common import written
 from .quality_rules import COMMON_WORDS, vocabulary
 
-# Notices by which texts name their licence, and the grants of short licences.
+# Notices by which texts name their licence, the grants of short licences, and the texts of those that are
+# short enough to stand in a file. Names and years are not part of them.
+AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+BSD_GRANT = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TERMS = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_AS_IS = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        MIT_GRANT,
+        f"{MIT_GRANT} The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {AS_IS}",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     ],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD": [BSD_GRANT, f"{BSD_GRANT} {BSD_TERMS} {BSD_AS_IS}", f"{BSD_GRANT} {BSD_TERMS} {BSD_NAMES} {BSD_AS_IS}"],
+    "ISC": [ISC_GRANT, f"{ISC_GRANT} {ISC_AS_IS}"],
+    "0BSD": [f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {ISC_AS_IS}"],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ],
 }
 MOST_TEMPLATE_BYTES = 1 << 20
 OTHERS = r"[^\p{L}\p{N}]+"
@@ -87,7 +106,7 @@ def with_bigrams(units: DataFrame) -> DataFrame:
     return words.select(*others, pairs.alias("grams")).withColumn("size", F.size(F.array_distinct(F.transform("grams", lambda g: F.xxhash64(g)))))
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8, windows: bool = False) -> DataFrame:
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8, windows: bool = True) -> DataFrame:
     """(id, license, n_lines, overlap, sizes) for every row of df and licence that one of its units resembles.
 
     Units are the whole text (line 0) and each of its lines (from 1). Dice of bigram sets A and B is 2|A n B| / (|A|+|B|);
@@ -148,7 +167,8 @@ def license_windows(df: DataFrame, id_col: str, text_col: str, table: DataFrame,
 
 
 def license_sql(templates: dict[str, list[str]] = TEMPLATES, threshold: float = 0.8) -> str:
-    """The scan of `documents` in DuckDB's SQL."""
+    """The scan of `documents` in DuckDB's SQL, windows among its units."""
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     rows = ", ".join(f"({quoted(g)}, {quoted(f'{n}/{k}')}, {quoted(n)}, {len(bigrams_of(t))})" for n, x in templates.items() for k, t in enumerate(x) for g in sorted(bigrams_of(t)))
     return rf"""
@@ -158,10 +178,25 @@ def license_sql(templates: dict[str, list[str]] = TEMPLATES, threshold: float =
         words as (select doc_id, line, string_split(trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') as w from units),
         grams as (select doc_id, line, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) as g from words where len(w) > 1),
         single as (select doc_id, line, len(g) as size, unnest(g) as bigram from grams),
+        texts as (
+            select row_number() over () as r, doc_id, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) as g from words where line = 0 and len(w) > 1),
+        places as (select r, unnest(range(1, len(g) + 1)) as pos, unnest(g) as bigram from texts),
+        hits as (select r, pos, bigram, template, license, template_size from places join templates using (bigram)),
+        ahead as (
+            select a.r, a.template, a.license, a.template_size, a.pos, list(b.pos order by b.pos) as ps, list(b.bigram order by b.pos) as bs
+            from hits a join hits b on a.r = b.r and a.template = b.template and b.pos >= a.pos and b.pos < a.pos + floor(a.template_size * {high}::double + 1e-9)
+            group by all having count(*) >= a.template_size * {low}::double - 1e-9),
+        ends as (select *, unnest(range(1, len(ps) + 1)) as k from ahead),
+        windows as (
+            select doc_id, template, license, template_size, len(list_distinct(list_slice(g, pos, ps[k]))) as size, len(list_distinct(list_slice(bs, 1, k))) as overlap
+            from ends join texts using (r)
+            where ps[k] - pos + 1 >= ceil(template_size * {low}::double - 1e-9)
+              and 2 * len(list_distinct(list_slice(bs, 1, k))) >= {threshold} * (len(list_distinct(list_slice(g, pos, ps[k]))) + template_size) - 1e-9),
         scored as (
             select doc_id, line, template, license, size, template_size, count(*) as overlap from single join templates using (bigram)
-            group by all having 2 * count(*) >= {threshold} * (size + template_size) - 1e-9),
-        ranked as (select *, row_number() over (partition by doc_id, license order by 2 * overlap / (size + template_size) desc, overlap desc) as r from scored)
+            group by all having 2 * count(*) >= {threshold} * (size + template_size) - 1e-9
+            union all by name select doc_id, 0 as line, template, license, size, template_size, overlap from windows),
+        ranked as (select *, row_number() over (partition by doc_id, license order by 2 * overlap / (size + template_size) desc, overlap desc) as place from scored)
         select doc_id, license, count(distinct case when line > 0 then line end) as n_lines,
-               max(case when r = 1 then overlap end)::bigint as overlap, max(case when r = 1 then size + template_size end)::bigint as sizes
+               max(case when place = 1 then overlap end)::bigint as overlap, max(case when place = 1 then size + template_size end)::bigint as sizes
         from ranked group by doc_id, license"""

@@ -3,7 +3,7 @@ import textwrap
 
 import pytest
 
-from branchstone.llm.license_scan import TEMPLATES, bigrams_of, license_scan, words_of
+from branchstone.llm.license_scan import AS_IS, TEMPLATES, bigrams_of, license_scan, license_sql, words_of
 
 
 def brute(rows, threshold):
@@ -39,23 +39,22 @@ def test_matches_brute_force(spark, threshold):
     rows += [(k, parts[k - 300].upper()) for k in range(300, 300 + len(parts))]
     rows += [(500, None), (501, ""), (502, "\n\n"), (503, "one"), (504, "Released under\nthe MIT License."), (505, parts[0]), (505, parts[0]), (None, parts[0]), (506, "filler " * 50000 + "\n" + parts[0])]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as line", "2 as unit", "3 as bigram", "'x' as license")
-    got = sorted((tuple(r) for r in license_scan(df, threshold=threshold).collect()), key=repr)
+    got = sorted((tuple(r) for r in license_scan(df, threshold=threshold, windows=False).collect()), key=repr)
     want = brute(list(dict.fromkeys(rows)), threshold)
     assert got == want
     assert len(want) > 60
 
 
-AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
-
-
 def best_window(text, template, threshold):
     words, other = words_of(text), bigrams_of(template)
     grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
     most, found = int(len(other) * (2 - threshold) / threshold + 1e-9), [(0, 0, 0)]
     for a in range(len(grams)):
-        for b in range(a + 1, min(a + most, len(grams)) + 1):
-            own = set(grams[a:b])
-            found.append((2 * len(own & other) / (len(own) + len(other)), len(own & other), len(own) + len(other)))
+        own, both = set(), 0
+        for g in grams[a : a + most]:
+            both += g in other and g not in own
+            own.add(g)
+            found.append((2 * both / (len(own) + len(other)), both, len(own) + len(other)))
     return max(found)
 
 
@@ -75,8 +74,11 @@ def test_windows(spark):
         for _ in range(draw.randint(0, 8)):
             words[draw.randrange(len(words))] = draw.choice(["the", "of", "x"])
         rows.append((k, wrap(" ".join(words), 50)))
+    wrapped = "\n".join("// " + x for x in textwrap.wrap(TEMPLATES["Apache-2.0"][2], 60))
+    rows += [(40, "".join(f"int x{k};\n" for k in range(200)) + wrapped + "\n" + "".join(f"int y{k};\n" for k in range(200))), (41, wrap(f"{TEMPLATES['BSD'][2]} and more of it"))]
+    rows += [(42 + k, f"Copyright 2001 Nobody\n\n{wrap(TEMPLATES[n][-1], 66)}\n") for k, n in enumerate(["ISC", "0BSD", "Zlib", "Unlicense"])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.doc_id, r.license): (r.overlap, r.sizes) for r in license_scan(df, windows=True).collect()}
+    got = {(r.doc_id, r.license): (r.overlap, r.sizes) for r in license_scan(df).collect()}
     want = {}
     for i, text in rows:
         for name, texts in TEMPLATES.items():
@@ -84,7 +86,14 @@ def test_windows(spark):
             if best[0] >= 0.8 - 1e-9:
                 want[i, name] = best[1:]
     assert got == want
-    assert not {r.doc_id for r in license_scan(df).collect()} & {0, 1, 2, 3}  # neither lines nor whole texts have them
+    assert not {r.doc_id for r in license_scan(df, windows=False).collect()} & {1, 2, 3}  # neither lines nor whole texts have them
+    assert {(40, "Apache-2.0"), (41, "BSD"), (42, "ISC"), (43, "0BSD"), (44, "Zlib"), (45, "Unlicense")} <= set(got)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", [(*r,) for r in [*rows, (90, None), (91, "")]])
+    said = {(r[0], r[1]): (r[3], r[4]) for r in con.execute(f"select doc_id, license, n_lines, overlap, sizes from ({license_sql()})").fetchall()}
+    assert {k: v for k, v in said.items()} == {(r.doc_id, r.license): (r.overlap, r.sizes) for r in license_scan(df).collect()}
     assert {(0, "MIT"), (1, "MIT"), (2, "GPL-3.0"), (3, "BSD")} <= set(got) and not any(i == 4 for i, _ in got)
 
 
