@@ -395,7 +395,7 @@ class Parts:
             "a dataset twice": code_of(e.apply_group, self.default, head(), [edit(self.did, [])] * 2),
             "an empty edit": code_of(e.apply_group, self.default, head(), [edit(self.did, [])]),
             "a revision that rows violate": code_of(e.revise_schema, e.export_schema(self.did), self.narrow(30)),
-            "a revision of the stored form": code_of(e.revise_schema, e.export_schema(self.did), PARTS | {"fields": PARTS["fields"][:3]}),
+            "a revision of the stored form": code_of(e.revise_schema, e.export_schema(self.did), PARTS | {"fields": [*PARTS["fields"][:1], PARTS["fields"][1] | {"max_length": 90}, *PARTS["fields"][2:]]}),
             "a revision of nothing": code_of(e.revise_schema, e.export_schema(self.did), PARTS),
             "an old descriptor": code_of(e.revise_schema, d, self.narrow(90)),
             "a revision that rows satisfy": code_of(e.revise_schema, e.export_schema(self.did), self.narrow(90)),
