@@ -266,7 +266,7 @@ def _verdicts(references: dict[tuple[str, str], np.ndarray], guards: dict[str, i
     return run
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] = COMMON_WORDS, least_chars: int = 200, least_words: int = 50, class_limit: tuple[float, float] = (0.12, 3.4), word_limit: tuple[float, float] = (0.3, 2.2), least_reference: int = 5, rounds: int = 3) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", common: dict[str, list[str]] = COMMON_WORDS, least_chars: int = 200, least_words: int = 50, class_limit: tuple[float, float] = (0.08, 2.0), word_limit: tuple[float, float] = (0.3, 2.2), least_reference: int = 5, rounds: int = 3) -> DataFrame:
     """(id, base counts, base_failed, kept, class_distance, word_distance) for every row of df.
 
     A language's reference is the mean histogram of all texts of that language that pass the base rules and both length

@@ -9,7 +9,7 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def quality_sql(rounds: int = 3, least_chars: int = 200, least_words: int = 50, class_limit: tuple[float, float] = (0.12, 3.4), word_limit: tuple[float, float] = (0.3, 2.2), least_reference: int = 5) -> str:
+def quality_sql(rounds: int = 3, least_chars: int = 200, least_words: int = 50, class_limit: tuple[float, float] = (0.08, 2.0), word_limit: tuple[float, float] = (0.3, 2.2), least_reference: int = 5) -> str:
     known = ", ".join(map(_quoted, vocabulary(COMMON_WORDS)))
     langs = ", ".join(map(_quoted, sorted(COMMON_WORDS)))
     ascii_ = " ".join(f"when code in ({', '.join(str(ord(c)) for c in chars)}) then '{name}'" for name, chars in ASCII_CLASSES.items())

@@ -63,7 +63,7 @@ def brute(rows, rounds=3):
                 n[lang] += 1
         for k, (_, lang, base, failed, both) in enumerate(docs):
             ok = not failed
-            for kind, size, least, (a, b) in ((0, base[1], 200, (0.12, 3.4)), (1, base[0], 50, (0.3, 2.2))):
+            for kind, size, least, (a, b) in ((0, base[1], 200, (0.08, 2.0)), (1, base[0], 50, (0.3, 2.2))):
                 if n[lang] >= 5 and size >= least:
                     ok &= brute_distance(both[kind], refs[lang, kind]) <= a + b / math.sqrt(size)
             verdict[k] = ok
