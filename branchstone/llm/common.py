@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-HOT_ROWS = 1 << 16  # a group of more rows is never brought into one task
-MOST_HOT = 1 << 21  # hot groups that are broadcast at most: beyond that the bound above rises
+HOT_ROWS = 1 << 10  # a group of more rows is not joined in one task
+RUN_ROWS = 1 << 12  # rows that are put in order in one task at a time
+MOST_HOT = 1 << 20  # hot groups that are broadcast at most: beyond that the bounds above rise
+MOST_RUNS = 1 << 14  # likewise
 
 
 def ascii_lower(text: Column) -> Column:
@@ -60,15 +62,15 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             fs.delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: it survives lost executors and cuts the lineage.
 
-    The folder is removed when the scratch() around it ends, or else with the driver's JVM."""
+    The folder is removed when the scratch() around it ends, or else, as with `stays`, with the driver's JVM."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     at, fs = _path(spark, path)
     fs.deleteOnExit(at)
-    if _scopes:
+    if _scopes and not stays:
         _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -94,12 +96,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return at_hot.unionByName(rest)
 
 
-def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, into: str, most: int = HOT_ROWS) -> DataFrame:
+def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, into: str, most: int | None = None) -> DataFrame:
     """rows (a written table) with `into`: the sum of `amount` over the rows of the same keys before each, in order of `order`.
 
-    No key has a null. Keys of up to `most` rows are windows of their own. Rows of larger ones are sorted as a whole and
-    cut into runs of about `most`; a run's sum is carried to those after it, so no task has all rows of a key. `order`
-    must tell rows apart, or runs of equal rows stay together."""
+    No key has a null. Keys of up to `most` rows (default: RUN_ROWS) are windows of their own. Rows of larger ones are
+    sorted as a whole and cut into runs of about `most`, MOST_RUNS in all; a run's sum is carried to those after it, so no
+    task has all rows of a key. `order` must tell rows apart, or runs of equal rows stay together."""
+    most = most or max(RUN_ROWS, rows.count() // MOST_HOT)
     before = Window.unboundedPreceding
     sized = rows.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > most)
     hot = [r["__n"] for r in sized.select("__n").limit(1).collect()]
@@ -109,7 +112,7 @@ def running_sum(rows: DataFrame, keys: Sequence[str], order: Sequence[str], amou
     large = written(sized, "large-keys")
     count = large.agg(F.sum("__n")).first()[0]
     large = large.drop("__n")
-    runs = rows.join(F.broadcast(large), list(keys)).repartitionByRange(-(-count // most), *keys, *order).withColumn("__run", F.spark_partition_id())
+    runs = rows.join(F.broadcast(large), list(keys)).repartitionByRange(min(-(-count // most), MOST_RUNS), *keys, *order).withColumn("__run", F.spark_partition_id())
     runs = written(runs, "runs")
     # one row for each run and key; keys that share a run make few more rows than there are runs
     sums = runs.groupBy(*keys, "__run").agg(F.sum(amount).alias("__sum"))

@@ -8,7 +8,9 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from branchstone.llm.common import shared_dir
 from tests.llm.test_exact_dedup import brute as brute_exact
+from tests.llm.test_exact_dedup import lower
 from tests.llm.test_mixing import brute_taken
 from tests.llm.test_quality_rules import brute as brute_quality
 from tests.llm.test_quality_rules import corpus
@@ -79,15 +81,40 @@ def test_run_is_the_stages(spark, run_of_stages):
 
 
 def test_ids_that_repeat(spark):
-    rows = documents()[:40]
-    rows += [(rows[0][0], *rows[1][1:]), (None, *rows[2][1:])]
+    """Where ids repeat or are null, quality and near dedup decide by id, and exact dedup and mixing by row."""
+    rows = documents()[:60]
+    rows += [(rows[0][0], *rows[1][1:]), (None, *rows[2][1:]), (None, *rows[7][1:]), (rows[5][0], *rows[5][1:]), (rows[9][0], "too short", *rows[9][2:])]
     docs = spark.createDataFrame(rows, SCHEMA)
-    for _, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, docs, "").collect()
-        by = defaultdict(int)
-        for r in out:
-            by[r.doc_id] += 1
-        assert max(by.values(), default=0) <= 6
+
+    def any_of(good):
+        ids = {i for i, ok in good if ok}
+        return Counter(r for r in rows if r[0] in ids)
+
+    got = [Counter(map(tuple, stage(spark, docs, "").collect())) for _, stage in corpus_pipeline.STAGES[:4]]
+    assert got[0] == any_of([(x[0], x[-1]) for x in brute_quality([r[:3] for r in rows])])
+    groups = defaultdict(list)
+    for r in rows:
+        groups[lower(r[1])].append(r)
+    last = {t: max((r[0] for r in g if r[0] is not None), default=None) for t, g in groups.items()}
+    assert got[1] == Counter(r for t, g in groups.items() for r in g if r[0] == last[t])
+    assert got[2] == any_of([(i, c == i) for i, _, c in brute_near([r[:2] for r in rows])])
+    sums = defaultdict(lambda: [0, 0])
+    for i, s, n, t in brute_taken([(r[0], r[1], r[3]) for r in rows]):
+        sums[i, s, n][0] += t
+        sums[i, s, n][1] += n
+    times = {k: round(t / max(n, 1)) for k, (t, n) in sums.items()}
+    assert got[3] == Counter(r for r in rows for _ in range(times[r[0], r[3], len((r[1] or "").split())]))
+
+
+def test_intermediate_tables_go_with_their_stage(spark, run_of_stages):
+    import os
+
+    top, _, _ = run_of_stages
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, str(top)).collect()
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert left == {name.replace(" ", "-") for name, _ in corpus_pipeline.STAGES[:-1]}
 
 
 def test_rows_without_id_are_mixed(spark):
