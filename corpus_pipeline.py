@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from branchstone.llm.bpe import bpe_encode
-from branchstone.llm.common import written
+from branchstone.llm.common import scratch, written
 from branchstone.llm.exact_dedup import drop_ids, exact_dedup
 from branchstone.llm.mixing import mix, word_count
 from branchstone.llm.quality_rules import quality_rules
@@ -78,8 +78,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES one after the other over documents; each result but the last is written and read again."""
+    """STAGES one after the other over documents; each result but the last is written and read again, and what a stage
+    has written on its way to it is removed then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"), stays=True)
     return STAGES[-1][1](spark, docs, sf_dir)
