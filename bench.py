@@ -95,10 +95,6 @@ def workload(spark: SparkSession, rows: int, prefix: str, branches: int) -> dict
         for d in layers:
             engine.load(d["dataset_id"], default, head(default), features(spark, d["managed_name"], rows // 2))
 
-    if prefix == "workload":
-        load()  # the published figures are warm ones
-        for d in layers:
-            engine.apply_rows(d["dataset_id"], default, head(default), [], replace=True)
     out["load"] = timed(load)
     engine.configure_branch_quotas(group, QUOTA)
     names = [new() for _ in range(branches)]
@@ -135,6 +131,7 @@ def main() -> None:
     spark = session()
     try:
         found = {name: round(best(lambda q=core.QUERIES[name]: q(spark, SF_DIR).write.format("noop").mode("overwrite").save()), 4) for name in HEADLINE}
+        workload(spark, 20_000, "warm", 3)  # the published figures are warm ones
         found |= workload(spark, ROWS, "workload", 10)
         more = workload(spark, MORE_ROWS, "workload_1m", 1) if MORE_ROWS else {}
         try:

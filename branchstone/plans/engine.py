@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
@@ -310,28 +311,30 @@ class Engine:
             plain = staged.withColumn("geom", F.when(F.col("__text"), F.col("geom"))) if geometry else staged
             bad = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in all_checks(definition)], F.lit(None).cast("string")), lambda x: x.isNotNull())
             found = plain.select("__position", "__known", (~named).alias("nameless"), unread.alias("unread"), F.when(F.size(bad) > 0, F.struct("__position", bad[0].alias("name"))).alias("bad"))
-            count, nameless, unread, unknown, first = found.agg(F.count("*"), F.count_if("nameless"), F.count_if("unread"), F.count_if(~F.col("__known")), F.min("bad")).first()
-            require(not nameless, "INVALID_FEATURE_ROW")
-            require(not unread, "INVALID_GEOMETRY_INPUT")
-            require(not unknown, "INVALID_SUBTYPE")
+            # one row for each partition that has written: their sizes number the rows of a first load
+            parts = found.groupBy(F.shiftright("__position", 33).alias("part")).agg(F.count("*").alias("n"), F.count_if("nameless").alias("nameless"), F.count_if("unread").alias("unread"), F.count_if(~F.col("__known")).alias("unknown"), F.min("bad").alias("bad")).collect()
+            count, first = sum(p.n for p in parts), min((tuple(p.bad) for p in parts if p.bad is not None), default=None)
+            require(not any(p.nameless for p in parts), "INVALID_FEATURE_ROW")
+            require(not any(p.unread for p in parts), "INVALID_GEOMETRY_INPUT")
+            require(not any(p.unknown for p in parts), "INVALID_SUBTYPE")
             require(duplicates(staged, ["fid"]).isEmpty(), "DUPLICATE_FEATURE_UUID")
             there = [] if replace and not missing else manifest["base"] + manifest["layers"]
             old = self._rows(state, manifest, dataset).select("fid").join(staged.select("fid"), "fid", "left_semi") if there else None
             replaced = old.count() if old is not None else 0
             require(not (missing and replaced), "FIELD_SET_MISMATCH")
-            require(first is None, "CONSTRAINT_VIOLATION", first["name"] if first else "")
+            require(first is None, "CONSTRAINT_VIOLATION", first[1] if first else "")
 
             if entry["identity"]:
                 registry = self._registry(entry)
                 fresh = self.store.write(allocate(plain, registry, "fid", "__position", entry["next_object_id"] - 1))
                 made = self.store.read([fresh], IDENTITY)
                 allocated = made.count()
-                ids = registry.unionByName(made)
+                identified = plain.join(registry.unionByName(made), "fid")
             else:
                 fresh, allocated = None, count
-                ids = numbered(plain, entry["next_object_id"] - 1)
+                identified = numbered(plain, {p.part: p.n for p in parts}, entry["next_object_id"] - 1)
             require(entry["next_object_id"] + allocated <= 1 << 63, "OBJECT_ID_OVERFLOW")
-            full = plain.join(ids, "fid").withColumn("feature_revision", F.expr("uuid()")).select(*schema.names)
+            full = identified.withColumn("feature_revision", F.expr("uuid()")).select(*schema.names)
             if replace or not manifest["base"] + manifest["layers"]:
                 target["datasets"][dataset] = layers.whole(self.store, full, state["sequence"] + 1)
             else:
@@ -414,15 +417,15 @@ class Engine:
         wanted = self._local([(v,) for v in sorted(values)], T.StructType([T.StructField(column, T.StringType())]))
         return df.join(F.broadcast(wanted), column, "left_semi")
 
-    def _known(self, manifest: dict, entry: dict, fids: Collection[str], definition: dict) -> tuple[dict[str, int], dict[str, int]]:
-        """Of some keys: those that the version has, and those that the dataset ever had, with their identities. One job:
-        what layers and segments say of a key is few rows, of which the youngest counts."""
+    def _known(self, manifest: dict, entry: dict, fids: Collection[str], definition: dict, ever_had: bool = True) -> tuple[dict[str, int], dict[str, int]]:
+        """Of some keys: those that the version has and, with ever_had, those that the dataset ever had, with their
+        identities. One job: what layers and segments say of a key is few rows, of which the youngest counts."""
         schema, found = rows_schema(definition), []
         if fids and manifest["layers"]:
             found.append(self.store.read(manifest["layers"], layers.delta_schema(schema)).select("fid", "object_id", "__seq", F.col("__gone").alias("gone")))
         if fids:
             found += [rows.select("fid", "object_id", F.lit(seq).cast("long").alias("__seq"), F.lit(False).alias("gone")) for seq, rows in layers.based(self.store, manifest, schema)]
-        if fids and entry["identity"]:
+        if fids and entry["identity"] and ever_had:
             found.append(self._registry(entry).select("fid", "object_id", F.lit(-1).cast("long").alias("__seq"), F.lit(True).alias("gone")))
         rows = [tuple(r) for r in self._among(reduce(DataFrame.unionByName, found), fids).collect()] if found else []
         last: dict[str, tuple] = {}
@@ -511,20 +514,16 @@ def default_columns(definition: dict, missing: Collection[str]) -> tuple[list[Co
     return columns, known
 
 
-def numbered(staged: DataFrame, after: int) -> DataFrame:
-    """(fid, object_id) of rows that are all new: after + 1 and on by __position, whose upper half is the partition that
-    wrote the row and whose lower half counts from 0, so that only the partitions' sizes are added up."""
-    part = F.shiftright("__position", 33)
-    sizes = sorted((r[0], r[1]) for r in staged.groupBy(part.alias("p")).agg(F.count("*")).collect())
-    total, offsets = after, []
-    for p, n in sizes:
-        offsets.append((p, total))
-        total += n
-    if len(offsets) > MOST_ROWS:
-        spread = staged.sparkSession.createDataFrame(offsets, "p long, o long")
-        return staged.select("fid", "__position", part.alias("p")).join(F.broadcast(spread), "p").select("fid", (F.col("o") + F.col("__position").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("object_id"))
-    offset = F.element_at(F.create_map(*[F.lit(x).cast("long") for o in offsets for x in o]), part) if offsets else F.lit(after)
-    return staged.select("fid", (offset + F.col("__position").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("object_id"))
+def numbered(staged: DataFrame, sizes: dict[int, int], after: int) -> DataFrame:
+    """staged with object_id for rows that are all new: after + 1 and on by __position, whose upper half is the partition
+    that wrote the row and whose lower half counts from 0. sizes: the partitions' rows."""
+    offsets = list(zip(sorted(sizes), itertools.accumulate((sizes[p] for p in sorted(sizes)), initial=after), strict=False))
+    part, within = F.shiftright("__position", 33), F.col("__position").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    if len(offsets) > FEW:
+        spread = staged.sparkSession.createDataFrame(offsets, "__part long, __before long")
+        return staged.withColumn("__part", part).join(F.broadcast(spread), "__part").withColumn("object_id", F.col("__before") + within)
+    before = F.element_at(F.create_map(*[F.lit(x).cast("long") for o in offsets for x in o]), part) if offsets else F.lit(after)
+    return staged.withColumn("object_id", before + within)
 
 
 def gated(definition: dict, rows: Iterable[dict]) -> tuple[list[tuple], tuple[int, str, str] | None]:

@@ -36,7 +36,7 @@ class Workspace(Branches):
             require(version == state["default_version_id"] or state["branches"][version]["state"] == "active", "BRANCH_NOT_ACTIVE")
             require(dataset in target["datasets"], "DATASET_VERSION_MISMATCH")
             manifest, key, definition = target["datasets"][dataset], fid.lower(), self._definition(state, dataset)
-            present, ever = self._known(manifest, state["datasets"][dataset], {key}, definition)
+            present, ever = self._known(manifest, state["datasets"][dataset], {key}, definition, operation == "insert")  # rows name their identity
             require((key in present) if operation != "insert" else key not in present, "UNKNOWN_FEATURE" if operation != "insert" else "DUPLICATE_FEATURE_UUID")
             if operation == "delete":
                 schema = rows_schema(definition)
