@@ -96,6 +96,7 @@ def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 # --- customers: a branch and DEFAULT go apart and come together again --------------------------------------------------
 
 LAST = 80  # the branch changes customers up to this key, one by one
+DROPPED = (4, 10, 46)  # customers that DEFAULT deletes and the branch leaves as they are
 
 
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +139,8 @@ class Customers:
         name = F.when(key % 11 == 5, F.concat("name", F.lit("-t"))).when(key % 42 == 0, F.concat("name", F.lit("-d"))).otherwise(F.col("name"))
         moved = every.where("key % 3 = 0 or key % 22 = 5").select("fid", name.alias("name"), (F.col("value") + 2).cast("decimal(14,3)").alias("value"), F.when(key % 9 == 0, "X").otherwise(F.col("seg")).alias("seg"), "geometry")
         e.load(self.did, self.default, head(), moved)
+        for r in every.where(key.isin(*DROPPED)).orderBy(key).collect():
+            e.edit(self.default, head(), self.did, "delete", r.fid, None, OWNER)
         self.moved = e.capture(self.group, self.default)
 
         self.plan = e.prepare_reconcile(self.branch, OWNER)
@@ -189,7 +192,7 @@ CUSTOMERS_SQL = f"""
         select key, fid, case when key % 11 = 5 then name || '-t' when key % 42 = 0 then name || '-d' else name end as name, (value + 2)::decimal(14,3) as value,
                case when key % 9 = 0 then 'X' else seg end as seg, x, y
         from named where key % 3 = 0 or key % 22 = 5
-        union all select * from base where not (key % 3 = 0 or key % 22 = 5)),
+        union all select * from base where not (key % 3 = 0 or key % 22 = 5) and key not in {DROPPED}),
     sides as (
         select n.key, n.fid, n.x, n.y, b.key is not null as hb, o.key is not null as ho, t.key is not null as ht,
                (b.name, b.value, b.seg) as b, (o.name, o.value, o.seg) as o, (t.name, t.value, t.seg) as t,
@@ -562,6 +565,7 @@ EVENTS_SQL = f"""
     steps as (
         select 1 as step, 0 as key, 'create' as kind, false as of_default, null as operation, null as fid
         union all select 2, key, 'edit', false, operation, fid from edits
+        union all select 2, {LAST} + key, 'edit', true, 'delete', fid from named where key in {DROPPED}
         union all select 3, 0, 'prepare', false, null, null
         union all select 4, 0, 'resolve', false, null, fid from settled where outcome in ('existence', 'field')
         union all select 5, 0, 'accept', false, null, null
@@ -587,7 +591,7 @@ ORACLE_SQL: dict[str, str] = {
     "engine_point_dump": _sql(CUSTOMERS_SQL, "select fid, 1 as path, x, y from base"),
     "engine_geometry_flags": _sql(CUSTOMERS_SQL, "select 4326 as srid, 'Point' as gtype, 0 as zm, false as is_empty, true as finite, true as valid, count(*) as n, 25 as ewkb_bytes from base"),
     "engine_identities": _sql(CUSTOMERS_SQL, "select count(*) as n, count(distinct key) as fids, count(distinct key) as numbers, 1::bigint as low, count(*) as high, 0::bigint as changed from sides where hb or ho or ht"),
-    "engine_revisions": _sql(CUSTOMERS_SQL, "select key % 3 = 0 or key % 22 = 5 as drawn, count(*) as n from base group by 1"),
+    "engine_revisions": _sql(CUSTOMERS_SQL, f"select key % 3 = 0 or key % 22 = 5 as drawn, count(*) as n from base where key not in {DROPPED} group by 1"),
     "quota_usage": _sql(CUSTOMERS_SQL, f"select n as current_rows, n as snapshot_rows, bytes as current_bytes, bytes as snapshot_bytes, 1::bigint as history_rows from ({BASE_BYTES})"),
     "engine_manifest": _sql(CUSTOMERS_SQL, f"select n as row_count, bytes as row_bytes, 64 as digest_length, sha256('{json.dumps(CUSTOMERS, sort_keys=True, separators=(',', ':'))}') as schema_sha256 from ({BASE_BYTES})"),
     "engine_events": _sql(CUSTOMERS_SQL, f", {EVENTS_SQL.strip()} select event_id, kind, of_default, operation, fid, false as delivered from numbered"),
