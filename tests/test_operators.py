@@ -55,6 +55,6 @@ def test_measures(spark):
     assert measure.measure(df.where("n = 1"), "fid", "h").first().rows_sha256 != one.rows_sha256
     assert measure.measure(df, "fid", "g").first().rows_sha256 != one.rows_sha256
     assert measure.measure(df.where("false"), "fid", "h").first().rows_sha256 == measure.empty_digest("h")
-    tree = measure.measure_tree(df, "fid", "h", buckets=2).first()
-    assert (tree.row_count, tree.row_bytes) == (3, one.row_bytes) and tree == measure.measure_tree(df.repartition(2), "fid", "h", buckets=2).first()
+    tree = measure.measure_tree(df, "fid", "h", digits=1).first()
+    assert (tree.row_count, tree.row_bytes) == (3, one.row_bytes) and tree == measure.measure_tree(df.repartition(2), "fid", "h", digits=1).first()
     assert measure.same(measure.measure(df, "fid", "h"), measure.measure(df, "fid", "h")).first().intact
