@@ -140,7 +140,7 @@ def main() -> None:
             llm = None
         if llm is not None:
             found |= {name: round(timed(lambda q=q: q(spark, SF_DIR).write.format("noop").mode("overwrite").save()), 4) for name, q in llm.QUERIES.items()}
-        print(json.dumps({"metric": "total_seconds", "value": round(sum(found.values()), 4), "unit": "sec", "queries": found | more, "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf") or 0), "workload_rows": ROWS, "cpus": CPUS}))
+        print(json.dumps({"metric": "total_seconds", "value": round(sum(v for k, v in found.items() if not k.endswith(("_p95", "_first"))), 4), "unit": "sec", "queries": found | more, "sf": float(os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf") or 0), "workload_rows": ROWS, "cpus": CPUS}))
     finally:
         spark.stop()
         shutil.rmtree(SHARED, ignore_errors=True)
